@@ -366,4 +366,32 @@ def queries_sql() -> dict[str, str]:
                 and e.minute >= cast(floor(s.t0 / 60) as int) + 1 + 1)""", "crossings", "scope"),
     }
     out["vehicle_latest"] = out["state_upsert"]
+
+    # Streams end in the same results.
+    out["s_file_source"] = out["union_sources"]
+    out["s_new_vehicles"] = out["new_vehicles"]
+    out["s_accidents"] = out["accident_signals"]
+    out["s_notifications"] = out["notifications"]
+    out["s_replay"] = sql("""
+        select cast(floor(simulated_time / 2400) as int) as batch, count(*) as n,
+          min(simulated_time) as t_min, max(simulated_time) as t_max
+        from reports group by 1""", "reports")
+    out["s_metrics"] = sql("""
+        select cast(floor(simulated_time / 2400) as int) as batch, count(*) as reports,
+          count(*) filter (where type = 0) as positions from reports group by 1""", "reports")
+    out["s_minute_stats"] = sql("select xway, seg, minute, round(a, 6) as a, n from sm", "sm")
+    out["s_segment_stats"] = sql("""
+        select xway, seg, minute, round(s.lav, 6) as lav, s.nov, t.toll
+        from stats s join toll t using (xway, seg, minute)""", "stats", "toll")
+    out["s_late"] = sql(f"select type, {_MINUTE} as minute, count(*) as n from pos group by 1, 2",
+                        "pos")
+    out["s_restart"] = sql("""
+        select 0 as kind, vid, simulated_time as t, xway, seg, lane, pos from entries
+        union all select 1, vid, t0, xway, seg, lane, pos from stops""", "entries", "stops")
+    out["s_sink_csv"] = out["s_sink_foreach"] = sql("""
+        select kind, vid, cast(1700000000000 + cast(t as bigint) * 1000 as bigint)
+            as report_wall_ms,
+          cast(case when kind = 0 then lav else seg end as int) as x,
+          cast(case when kind = 0 then toll else pos end as int) as y
+        from (""" + notice_sql() + ") n", "enriched")
     return out

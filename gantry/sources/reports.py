@@ -37,9 +37,11 @@ def to_raw_lines(reports: DataFrame) -> DataFrame:
     return named.select(F.concat_ws(",", *[_or_zero(named, f) for f in S.RAW_FIELDS]).alias("value"))
 
 
-def to_wire(reports: DataFrame, wall_base_ms: int = 0) -> DataFrame:
-    """Reports as wire text, sent `simulated_time` seconds after `wall_base_ms`."""
-    wall = F.lit(wall_base_ms).cast("long") + F.col("simulated_time").cast("long") * 1000
+def to_wire(reports: DataFrame, wall_base_ms: int | None = 0) -> DataFrame:
+    """Reports as wire text, sent `simulated_time` seconds after `wall_base_ms`, or now if None."""
+    wall = F.unix_millis(F.current_timestamp())
+    if wall_base_ms is not None:
+        wall = F.lit(wall_base_ms).cast("long") + F.col("simulated_time").cast("long") * 1000
     fields = [wall if f == "wall_ms" else _or_zero(reports, f) for f in S.WIRE_FIELDS]
     return reports.select(F.concat_ws(",", *fields).alias("value"))
 

@@ -39,6 +39,26 @@ def to_each_batch(
     return _writer(df, checkpoint, trigger).foreachBatch(write).start()
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """Counts the rows that pass here; read it from the query's progress as `name`."""
+    return df.observe(name, F.count(F.lit(1)).alias("n"))
+
+
+def batch_counts(query: StreamingQuery, names: list[str]) -> list[tuple]:
+    """(batch, count, ...) of the batches with input."""
+    return [
+        (p.batchId, *[p.observedMetrics[n]["n"] for n in names])
+        for p in query.recentProgress if p.numInputRows
+    ]
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the stateful operators dropped because the watermark had passed them."""
+    return sum(
+        o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators
+    )
+
+
 def append_batches(path: str, fmt: str = "csv") -> Callable[[DataFrame, int], None]:
     """Batch writer with one folder per batch, so that a repeated batch replaces itself."""
 

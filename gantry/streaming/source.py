@@ -62,7 +62,7 @@ def heartbeats(spark: SparkSession, times: list[int]) -> DataFrame:
 
 def write_slices(
     reports: DataFrame, path: str, edges: list[int], files_per_slice: int = 1,
-    wall_base_ms: int = 0,
+    wall_base_ms: int | None = 0,
 ) -> None:
     """Append the reports to a folder of wire text, one time slice after the other, so that a
     stream with `files_per_slice` files per trigger gets them in time order at a fixed rate.
@@ -75,7 +75,7 @@ def write_slices(
 
 
 def append_slice(
-    reports: DataFrame, path: str, files: int = 1, wall_base_ms: int = 0
+    reports: DataFrame, path: str, files: int = 1, wall_base_ms: int | None = 0
 ) -> None:
     to_wire(reports, wall_base_ms).repartition(files).write.mode("append").text(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gantry import functions as G
+from gantry import schema as S
 from gantry.functions.time import BASE_EPOCH
 from gantry.operators.positions import positions
 from gantry.operators.stats import LAV_DIGITS
@@ -152,3 +153,26 @@ def notices(
         .transformWithState(PR.Notifier(rules), PR.NOTICES, "append", "eventTime")
         .filter(F.col("vid").isNull() | (F.col("vid") != NOWHERE))
     )
+
+
+def serving_stats(minutes: DataFrame, history: DataFrame, rules: SegmentRules = DEFAULT_RULES):
+    """Statistics of the minutes with reports, from the tables the two statistics queries write."""
+    keys = [*rules.segment_cols, "minute"]
+    return minutes.select(*keys).join(history, keys, "left").select(
+        *keys, F.coalesce("lav", F.lit(0.0)).alias("lav"), F.coalesce("nov", F.lit(0)).alias("nov"),
+        F.coalesce("toll", F.lit(0)).alias("toll"),
+    )
+
+
+def accident_rows(notices: DataFrame) -> DataFrame:
+    """Accident notices in output order: kind, vehicle, report and emission time, place."""
+    return notices.filter(F.col("kind") == S.ACCIDENT_KIND).select(
+        "kind", "vid", "report_wall_ms", "emit_wall_ms", "seg", "pos"
+    )
+
+
+def toll_rows(notices: DataFrame) -> DataFrame:
+    """Toll notices in output order: kind, vehicle, report and emission time, LAV, toll."""
+    return notices.filter(F.col("kind") == S.TOLL_KIND).select(
+        "kind", "vid", "report_wall_ms", "emit_wall_ms", "lav", F.col("toll").cast("int")
+    )

@@ -84,27 +84,28 @@ class InOrder(StatefulProcessor):
         pass
 
 
-class VehicleTracker(InOrder):
-    """Per vehicle: entries into segments, and stops as they begin and end."""
+class VehicleTracker(StatefulProcessor):
+    """Per vehicle: entries into segments, and stops as they begin and end.
 
-    layout = "t int, speed int, xway int, lane int, dir int, seg int, pos int, wall_ms bigint"
+    Takes reports up to a time before which none is missing; the next batch goes on from there.
+    """
 
     def __init__(self, rules: SegmentRules):
         if rules.stop_scope != "vehicle" or rules.pair_gap is not None:
             raise ValueError("streams follow a stop until the vehicle's next report elsewhere")
         self.rules = rules
 
-    def open(self, handle):
+    def init(self, handle: StatefulProcessorHandle) -> None:
         self.trace = handle.getValueState(
             "trace", "t int, xway int, dir int, seg int, pos int, n int, lane int, t0 int"
         )
         self.seen = handle.getMapState("seen", "xway int, dir int, seg int", "t int")
 
-    def advance(self, key, rows):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         vid = key[0]
         out = Row("kind", "vid", "t", "speed", "xway", "lane", "dir", "seg", "pos", "t0", "wall_ms")
         last = self.trace.get() if self.trace.exists() else None
-        for r in rows:
+        for r in sorted(rows, key=attrgetter("t")):
             if r.xway == NOWHERE:
                 yield out(HEARTBEAT, vid, r.t, 0, r.xway, 0, 0, r.seg, 0, None, r.wall_ms)
                 continue
@@ -131,6 +132,9 @@ class VehicleTracker(InOrder):
         if last:
             self.trace.update(last)
 
+    def close(self) -> None:
+        pass
+
     def _segment(self, xway, direction, seg):
         return (xway, direction if self.rules.direction_aware else 0, seg)
 

@@ -22,12 +22,25 @@ def _second(ts) -> F.Column:
 
 
 def vehicle_events(
-    reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
+    reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY,
+    pace: str = "1 minute",
 ) -> DataFrame:
-    """Entries, stops and moves of each vehicle."""
-    pos = in_event_time(positions(reports), delay).withColumnRenamed("simulated_time", "t")
-    return pos.groupBy("vid").transformWithState(
-        PR.VehicleTracker(rules), PR.EVENTS, "append", "eventTime"
+    """Entries, stops and moves of each vehicle.
+
+    The watermarked aggregation holds a vehicle's reports back, `pace` of time in one list, until
+    none can be missing; so the tracker sees later batches for later times only, and keeps no
+    reports itself.
+    """
+    report = F.struct("t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms")
+    complete = (
+        in_event_time(positions(reports), delay)
+        .withColumnRenamed("simulated_time", "t")
+        .groupBy(F.window("ts", pace).alias("w"), "vid")
+        .agg(F.collect_list(report).alias("reports"))
+        .select("vid", F.inline("reports"))
+    )
+    return complete.groupBy("vid").transformWithState(
+        PR.VehicleTracker(rules), PR.EVENTS, "append", "none"
     )
 
 

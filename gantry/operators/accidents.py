@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gantry import functions as G
 from gantry.operators.asof import asof_join
+from gantry.operators.joins import salted_join
 from gantry.operators.trace import runs
 from gantry.rules import DEFAULT_RULES, SegmentRules
 
@@ -92,7 +93,7 @@ def accident_vehicles(
     """The stops that take part in each accident.
 
     Intervals look for each other per place and time slot, and each pair is taken in the slot of
-    the later start only.
+    the later start only. A place's accidents do not overlap, so a slot has few of them.
     """
     place = place_cols(rules)
     # An interval without an end is looked for up to the place's last start.
@@ -101,19 +102,19 @@ def accident_vehicles(
         .groupBy(*place).agg(F.max("t0").alias("last"))
     )
 
-    def slotted(df: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    def slotted(df: DataFrame, a: str, b: str, spread_by: str, *more: str) -> DataFrame:
         until = F.greatest(F.coalesce(F.least("t1", "last"), F.col("last")), F.col("t0"))
-        return df.join(lasts, place).select(
+        return salted_join(df, lasts, place, spread_by, rules, "inner").select(
             *place, *more, F.col("t0").alias(a), F.col("t1").alias(b),
             _slots(F.col("t0"), until).alias("slot"),
         )
 
-    s = slotted(stops, "stop_t0", "stop_t1", "vid")
-    a = slotted(by_position, "t0", "t1")
+    s = slotted(stops, "stop_t0", "stop_t1", "vid", "vid")
+    a = slotted(by_position, "t0", "t1", "t0")
     forever = F.lit(NO_CLEAR)
     later = F.greatest("stop_t0", "t0")
     return (
-        s.join(a, [*place, "slot"])
+        salted_join(s, a, [*place, "slot"], "vid", rules, "inner")
         .filter(
             (F.col("stop_t0") < F.coalesce("t1", forever))
             & (F.col("t0") < F.coalesce("stop_t1", forever))
@@ -133,7 +134,11 @@ def accident_sizes(vehicles: DataFrame, rules: SegmentRules = DEFAULT_RULES) ->
 def accident_resignals(
     positions: DataFrame, vehicles: DataFrame, rules: SegmentRules = DEFAULT_RULES
 ) -> DataFrame:
-    """Further reports of the involved vehicles while the accident lasts."""
+    """Further reports of the involved vehicles while the accident lasts.
+
+    Best given `vehicles` as a written table: its size is known then, and while it is small it is
+    broadcast and the reports stay where they are.
+    """
     forever = F.lit(NO_CLEAR)
     since = vehicles.select(
         *rules.segment_cols, "pos", "vid", F.greatest("stop_t0", "t0").alias("since"),

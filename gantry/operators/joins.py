@@ -18,7 +18,7 @@ def salted_join(
     how: str = "left",
 ) -> DataFrame:
     """Join whose left side may be busy on a key: its rows go to `join_salts` shares by
-    `spread_by`, and each row of the right side, one per key, goes to all of them."""
+    `spread_by`, and each row of the small right side goes to all of them."""
     if how not in ("left", "inner"):
         raise ValueError("only joins that keep or match rows of the left side can be salted")
     n = rules.join_salts

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry import functions as G
@@ -15,6 +17,7 @@ from gantry.operators.joins import salted_join
 from gantry.operators.positions import positions
 from gantry.operators.stats import segment_stats, segment_toll
 from gantry.rules import DEFAULT_RULES, SegmentRules
+from gantry.sources.sinks import tap
 
 
 def _noticed(t: Column, t0: Column, rules: SegmentRules) -> Column:
@@ -32,17 +35,28 @@ def minute_state(
 
     Accidents are spread over the minutes they last, so that entries find toll and accidents with
     one equi join instead of comparing times with every accident of a segment. `scopes` holds
-    those that end (a second can start only one per segment ahead, so few fit a minute); of those
-    that do not, only the earliest start is needed.
+    those that end (a second can start only one per segment ahead, so few fit a minute); one that
+    does not end stands in its first minute, and `open_from`, the earliest of these so far, goes
+    on from there.
     """
     seg = rules.segment_cols
-    ended, lasting = scope.filter("t1 is not null"), scope.filter("t1 is null")
+    ends = F.col("t1").isNotNull()
+    first = G.minute_of("t0")
+    lasts = F.when(ends, F.sequence(first, G.minute_of("t1"))).otherwise(F.array(first))
     by_minute = (
-        ended.withColumn("minute", F.explode(F.sequence(G.minute_of("t0"), G.minute_of("t1"))))
-        .groupBy(*seg, "minute").agg(F.collect_set(F.struct("t0", "t1")).alias("scopes"))
+        scope.withColumn("minute", F.explode(lasts))
+        .groupBy(*seg, "minute")
+        .agg(F.collect_set(F.when(ends, F.struct("t0", "t1"))).alias("scopes"),
+             F.min(F.when(~ends, F.col("t0"))).alias("open_from"))
+    )
+    so_far = (
+        W.partitionBy(*seg).orderBy("minute").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    return (
+        tolls.join(by_minute, [*seg, "minute"], "full_outer")
+        .withColumn("open_from", F.min("open_from").over(so_far))
+        .filter(F.col("toll").isNotNull())
     )
-    open_from = lasting.groupBy(*seg).agg(F.min("t0").alias("open_from"))
-    return tolls.join(by_minute, [*seg, "minute"], "left").join(open_from, seg, "left")
 
 
 def enriched_entries(
@@ -112,10 +126,15 @@ def _wall_out(enriched: DataFrame) -> list[str]:
 
 @dataclass
 class Pipeline:
-    """All stages over one table of reports, each planned lazily and usable on its own."""
+    """All stages over one table of reports, each planned lazily and usable on its own.
+
+    With `workdir`, a folder all executors share, the stops are written there when first needed
+    and read by the stages after them, which then start from a small table of known size.
+    """
 
     reports: DataFrame
     rules: SegmentRules = DEFAULT_RULES
+    workdir: str | None = None
 
     @property
     def positions(self) -> DataFrame:
@@ -129,9 +148,10 @@ class Pipeline:
     def tolls(self) -> DataFrame:
         return segment_toll(self.stats, self.rules)
 
-    @property
+    @cached_property
     def stops(self) -> DataFrame:
-        return A.stop_intervals(self.positions, self.rules)
+        stops = A.stop_intervals(self.positions, self.rules)
+        return tap(stops, f"{self.workdir}/stops") if self.workdir else stops
 
     @property
     def accidents_by_position(self) -> DataFrame:
@@ -139,8 +159,7 @@ class Pipeline:
 
     @property
     def accident_vehicles(self) -> DataFrame:
-        stops = self.stops
-        return A.accident_vehicles(stops, A.accidents_by_position(stops, self.rules), self.rules)
+        return A.accident_vehicles(self.stops, self.accidents_by_position, self.rules)
 
     @property
     def segment_accidents(self) -> DataFrame:

@@ -80,14 +80,20 @@ def _nov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.nov_of(minutes, rules).select("xway", "seg", "minute", "nov")
 
 
+def _with_written_stops(spark: SparkSession, sf_dir: str) -> Pipeline:
+    reports = IO.reports_from_star(spark, sf_dir)
+    return Pipeline(reports, workdir=scratch_dir(spark, "pipeline"))
+
+
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pipeline(spark, sf_dir)
+    p = _with_written_stops(spark, sf_dir)
     return A.accident_sizes(p.accident_vehicles, p.rules)
 
 
 def _resignals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pipeline(spark, sf_dir)
-    return A.accident_resignals(p.positions, p.accident_vehicles, p.rules)
+    p = _with_written_stops(spark, sf_dir)
+    vehicles = IO.tap(p.accident_vehicles, f"{p.workdir}/vehicles")
+    return A.accident_resignals(p.positions, vehicles, p.rules)
 
 
 def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ class SegmentRules:
 
     # Work distribution. None of these changes a result.
     chunk_seconds: int = 1800  # a vehicle's trace is split into pieces of this length
-    vehicle_salts: int = 8  # shares a busy segment-minute is split into by vehicle
+    vehicle_salts: int = 32  # shares a segment-minute with many vehicles is split into
     join_salts: int = 8  # copies of the small side of a join on busy segments
 
     def __post_init__(self):

@@ -53,3 +53,8 @@ def test_statistics_shuffle_reports_once(spark, tmp_path):
 def test_new_vehicles_aggregate_without_sorting(spark):
     text = plan(pipeline(spark, SF).entries)
     assert "SortAggregate" not in text and "Window" not in text
+
+
+def test_involved_vehicles_are_broadcast_while_small(spark):
+    text = plan(QUERIES["accident_resignals"](spark, SF))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

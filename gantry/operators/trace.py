@@ -34,8 +34,9 @@ def runs(
     simulated_time and these columns as of report number `min_reports`. With `max_gap` a longer
     silence ends a run, too.
     """
-    cut = _pieces(positions, trace, same, rules, first_of, min_reports, mark_cols, max_gap)
-    return _joined(cut, trace, same, first_of, min_reports, bool(mark_cols), max_gap)
+    marked = ["simulated_time", *mark_cols] if mark_cols else []
+    cut = _pieces(positions, trace, same, rules, first_of, min_reports, marked, max_gap)
+    return _joined(cut, trace, same, first_of, min_reports, marked, max_gap)
 
 
 def _follows(spec, same: list[str], last_time: str, this_time: str, max_gap: int | None) -> Column:
@@ -46,93 +47,102 @@ def _follows(spec, same: list[str], last_time: str, this_time: str, max_gap: int
     return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
 
 
-def _pieces(positions, trace, same, rules, first_of, min_reports, mark_cols, max_gap) -> DataFrame:
+def _pieces(positions, trace, same, rules, first_of, min_reports, marked, max_gap) -> DataFrame:
+    """Runs within the pieces, each told on its first report: whatever else is needed of a run
+    lies a fixed number of reports ahead or belongs to the piece as a whole."""
     t = "simulated_time"
-    needed = dict.fromkeys([*trace, *same, t, *first_of, *mark_cols])
+    needed = dict.fromkeys([*trace, *same, t, *first_of, *marked])
     w = W.partitionBy(*trace, "chunk").orderBy(t)
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
-    df = (
+    starts = (
         positions.select(*needed, G.chunk_of(t, rules.chunk_seconds).alias("chunk"))
-        .withColumn("starts", ~_follows(w, same, t, t, max_gap))
-        .withColumn("i", F.row_number().over(w))
+        .select(
+            "*",
+            _follows(w, same, t, t, max_gap).alias("follows"),
+            F.row_number().over(w).alias("i"),
+            F.lag(t).over(w).alias("t_before"),
+            F.count(F.lit(1)).over(whole).cast("int").alias("size"),
+            F.max(t).over(whole).alias("t_end"),
+            # Report number min_reports of the run; and the piece's first reports, one of which it
+            # is if the run already had some in earlier pieces.
+            *[F.lead(c, min_reports - 1).over(w).alias(f"mark_{c}") for c in marked],
+            *[
+                F.nth_value(c, j).over(whole).alias(f"head{j}_{c}")
+                for c in marked for j in range(1, min_reports)
+            ],
+        )
+        .filter(~F.col("follows"))
     )
-    df = df.select(
+    found = starts.select(
         "*",
-        F.max(F.when(F.col("starts"), F.col("i"))).over(so_far).alias("i0"),
-        F.max(F.when(F.col("starts"), F.col(t))).over(so_far).alias("t_first"),
-        F.lead("starts").over(w).alias("next_starts"),
+        F.lead("i").over(w).alias("next_i"),
         F.lead(t).over(w).alias("t_next"),
-        *[
-            F.last(F.when(F.col("starts"), F.struct(c)), ignorenulls=True).over(so_far)[c]
-            .alias(f"{c}_first")
-            for c in first_of
-        ],
-    ).withColumn("n", F.col("i") - F.col("i0") + 1)
-
-    if mark_cols:
-        # The first min_reports reports of the run: which of them is the wanted one depends on
-        # what the run already had in earlier pieces.
-        point = F.struct(t, *mark_cols)
-        df = df.select("*", *[
-            F.last(F.when(F.col("n") == j, point), ignorenulls=True).over(so_far).alias(f"mark{j}")
-            for j in range(1, min_reports + 1)
-        ])
-        marks = F.array(*[F.col(f"mark{j}") for j in range(1, min_reports + 1)])
-        df = df.withColumn("marks", marks)
-
-    opens, closes = F.col("i0") == 1, F.col("next_starts").isNull()
-    run_ends = closes | F.col("next_starts")
-    return df.filter(run_ends & (opens | closes | (F.col("n") >= min_reports))).select(
-        *dict.fromkeys([*trace, *same]), "chunk", "n", "t_first", F.col(t).alias("t_last"),
+        F.coalesce(F.lead("t_before").over(w), "t_end").alias("t_last"),
+    ).withColumn("n", F.coalesce("next_i", F.col("size") + 1) - F.col("i"))
+
+    opens, closes = F.col("i") == 1, F.col("next_i").isNull()
+    heads = [
+        F.array(*[F.col(f"head{j}_{c}") for j in range(1, min_reports)]).alias(f"heads_{c}")
+        for c in marked if min_reports > 1
+    ]
+    return found.filter(opens | closes | (F.col("n") >= min_reports)).select(
+        *dict.fromkeys([*trace, *same]), "chunk", "n", F.col(t).alias("t_first"), "t_last",
         "t_next",
         # Runs at a piece's edge meet in one group per trace, at most two per piece; the others
         # keep to their piece.
         F.when(opens | closes, F.lit(-1)).otherwise(F.col("chunk")).alias("zone"),
-        *[F.col(f"{c}_first") for c in first_of],
-        *(["marks"] if mark_cols else []),
+        *first_of, *[f"mark_{c}" for c in marked], *heads,
     )
 
 
 def _joined(cut, trace, same, first_of, min_reports, marked, max_gap) -> DataFrame:
+    """Runs that go on from one piece to the next as one."""
     w = W.partitionBy(*trace, "zone").orderBy("t_first")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     other_piece = F.coalesce(F.lag("chunk").over(w) != F.col("chunk"), F.lit(False))
     starts = F.col("starts")
 
-    df = (
-        cut.withColumn("starts", ~(other_piece & _follows(w, same, "t_last", "t_first", max_gap)))
-        .withColumn("reports", F.sum("n").over(so_far))
-        .withColumn("t_after", F.lead("t_first").over(w))
-        .withColumn("next_starts", F.lead("starts").over(w))
+    df = cut.select(
+        "*",
+        (~(other_piece & _follows(w, same, "t_last", "t_first", max_gap))).alias("starts"),
+        F.sum("n").over(so_far).alias("reports"),
+        F.lead("t_first").over(w).alias("t_after"),
     )
+    firsts = F.struct(F.col("t_first").alias("t0"), (F.col("reports") - F.col("n")).alias("before"),
+                      *first_of)
     df = df.select(
         "*",
-        F.max(F.when(starts, F.col("reports") - F.col("n"))).over(so_far).alias("before"),
-        F.max(F.when(starts, F.col("t_first"))).over(so_far).alias("t0"),
-        *[
-            F.last(F.when(starts, F.struct(f"{c}_first")), ignorenulls=True)
-            .over(so_far)[f"{c}_first"].alias(c)
-            for c in first_of
-        ],
-    ).withColumn("total", F.col("reports") - F.col("before"))
+        F.lead("starts").over(w).alias("next_starts"),
+        F.last(F.when(starts, firsts), ignorenulls=True).over(so_far).alias("first"),
+    ).withColumn("total", F.col("reports") - F.col("first.before"))
 
     if marked:
-        place = F.lit(min_reports) - (F.col("total") - F.col("n"))
-        here = F.when(place.between(1, F.col("n")), F.get("marks", (place - 1).cast("int")))
-        df = df.withColumn("_here", here).withColumn(
-            "mark", F.last("_here", ignorenulls=True).over(so_far)
+        # Which of this piece's reports is number min_reports of the run, if any.
+        place = (F.lit(min_reports) - (F.col("total") - F.col("n"))).cast("int")
+        point = F.struct(*[_at(place, c, min_reports).alias(c) for c in marked])
+        here = F.when(place.between(1, F.col("n")), point)
+        df = df.withColumn("here", here).withColumn(
+            "mark", F.last("here", ignorenulls=True).over(so_far)
         )
 
     ends = F.coalesce(F.col("next_starts"), F.lit(True))
     # t_after is the next piece's first report for a run at the end of its piece.
     t_next = F.coalesce("t_next", F.when(F.col("zone") == -1, F.col("t_after")))
     return df.filter(ends & (F.col("total") >= min_reports)).select(
-        *dict.fromkeys([*trace, *same]), F.col("total").alias("n"), F.col("t0").alias("t_first"),
-        "t_last", t_next.alias("t_next"), *first_of, *(["mark"] if marked else []),
+        *dict.fromkeys([*trace, *same]), F.col("total").alias("n"),
+        F.col("first.t0").alias("t_first"), "t_last", t_next.alias("t_next"),
+        *[F.col(f"first.{c}").alias(c) for c in first_of], *(["mark"] if marked else []),
     )
 
 
+def _at(place: Column, c: str, min_reports: int) -> Column:
+    mark = F.col(f"mark_{c}")
+    if min_reports == 1:
+        return mark
+    return F.when(place == min_reports, mark).otherwise(F.get(f"heads_{c}", place - 1))
+
+
 def same_position_runs(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
     place = [*rules.segment_cols, "pos"]
     return runs(positions, rules.trace_cols, place, rules).select("vid", *place, "n", "t_first", "t_last")

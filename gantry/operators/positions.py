@@ -47,10 +47,13 @@ def segment_blocks(positions: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-def write_by_block(positions: DataFrame, path: str, blocks: int) -> None:
-    """Store reports in one folder per block; segments spread over the writing tasks."""
+def write_by_block(
+    positions: DataFrame, path: str, blocks: int, rules: SegmentRules = DEFAULT_RULES
+) -> None:
+    """Store reports in one folder per block, each block written by several tasks."""
+    share = G.salt_of(rules.vehicle_salts, "vid", "simulated_time")
     (
         positions.withColumn("block", G.segment_block(blocks))
-        .repartition("xway", "seg")
+        .repartition("block", share)
         .write.mode("overwrite").partitionBy("block").parquet(path)
     )

@@ -229,6 +229,10 @@ def queries_sql() -> dict[str, str]:
               speed, xway, lane, dir, seg, pos, simulated_time, 0, 0, 0, 0, 0, 0) as value
             from reports""", "reports"),
         "union_sources": sql(f"select {REPORT_COLS} from reports", "reports"),
+        "one_per_second": sql(f"select {REPORT_COLS} from reports", "reports"),
+        "write_by_block": sql(f"""
+            select {REPORT_COLS}, cast((xway + floor(seg / 4)) % 8 as int) as block
+            from pos""", "pos"),
         "segment_key": sql("""
             select distinct xway, seg, concat_ws('_', xway, seg) as key, xway as key_xway,
               seg as key_seg from pos""", "pos"),

@@ -65,6 +65,20 @@ def _union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*REPORT_FIELDS)
 
 
+def _one_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources that both have the positions."""
+    p = pipeline(spark, sf_dir)
+    return IO.one_per_second(IO.union_sources([p.reports, p.positions])).select(*REPORT_FIELDS)
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions stored by block and read back."""
+    path = scratch_dir(spark, "blocks")
+    P.write_by_block(pipeline(spark, sf_dir).positions, path, 8)
+    stored = spark.read.parquet(path)
+    return stored.select(*REPORT_FIELDS, F.col("block").cast("int").alias("block"))
+
+
 def _minutes(spark: SparkSession, sf_dir: str, **options):
     p = pipeline(spark, sf_dir, **options)
     return ST.segment_minutes(p.positions, p.rules), p.rules
@@ -153,8 +167,10 @@ def batch_queries() -> dict[str, Query]:
         "quarantine": lambda s, d: IO.quarantine(_damaged_wire(s, d)),
         "to_wire": _wire,
         "union_sources": _union_sources,
+        "one_per_second": _one_per_second,
         "segment_key": stage(lambda p: P.segment_keys(p.positions)),
         "segment_block": stage(lambda p: P.segment_blocks(p.positions, 8)),
+        "write_by_block": _layout,
         "tap": lambda s, d: IO.tap(pipeline(s, d).tolls, scratch_dir(s, "tap")),
         "positions": stage(lambda p: p.positions.select(*REPORT_FIELDS)),
         "route_by_type": stage(lambda p: P.route_by_type(p.reports)),

@@ -45,7 +45,7 @@ def counted(df: DataFrame, name: str) -> DataFrame:
 
 
 def batch_counts(query: StreamingQuery, names: list[str]) -> list[tuple]:
-    """(batch, count, ...) of the batches with input."""
+    """(batch, count, ...) of the recent batches with input."""
     return [
         (p.batchId, *[p.observedMetrics[n]["n"] for n in names])
         for p in query.recentProgress if p.numInputRows
@@ -53,7 +53,7 @@ def batch_counts(query: StreamingQuery, names: list[str]) -> list[tuple]:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows the stateful operators dropped because the watermark had passed them."""
+    """Rows the stateful operators dropped in recent batches, the watermark having passed them."""
     return sum(
         o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators
     )

@@ -80,6 +80,8 @@ def segment_history(
 
     A row for every minute with reports in the history before it; without a row all are 0.
     """
+    if rules.lav_keep_stale:
+        raise ValueError("streams forget a minute once it has left the history")
     ends = F.col("w.end")
     is_last = F.unix_timestamp("m") + 60 == F.unix_timestamp(ends)
     history = (

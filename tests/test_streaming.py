@@ -84,5 +84,7 @@ def test_disorder_within_the_delay(spark):
 def test_unsupported_options_are_refused():
     with pytest.raises(ValueError):
         PR.VehicleTracker(SegmentRules(stop_scope="segment"))
+    with pytest.raises(ValueError):
+        SG.segment_history(None, SegmentRules(lav_keep_stale=True))
     with pytest.raises(ValueError):
         SegmentRules(entry_mode="any")

@@ -6,7 +6,9 @@ from conftest import SF
 import __spark_entry__ as driver
 from compare import compare, duck
 
-QUERIES, TEXTS = driver.queries(), driver.oracle_sql()
+#: The training-data queries have their own tests.
+TEXTS = driver.oracle.queries_sql()
+QUERIES = {**driver.batch_queries(), **driver.stream_queries()}
 
 
 @pytest.fixture(scope="module")

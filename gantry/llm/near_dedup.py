@@ -207,10 +207,8 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules(), text: str = "t
 
     # A row id that is repeated with other texts ties these texts together.
     named = sig.join(texts.select("digest", "id"), "digest").select("_id", "id")
-    repeats = named.filter("_id != id").select(F.col("_id").alias("a"), F.col("id").alias("b"))
     multiple = named.select("_id", "id").distinct().groupBy("_id").agg(F.min("id").alias("x"), F.max("id").alias("y"))
     same = multiple.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    del repeats
     final = components(links.unionAll(more).unionAll(same))
     final = final.withColumnRenamed("node", "id")
     out = named.join(final, "id", "left").select("_id", F.coalesce("root", "id").alias("class"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gantry.llm.decontamination import op6_decontamination
 from gantry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from gantry.llm.near_dedup import op3_near_dedup
 from gantry.llm.packing import op8_best_fit_packing
@@ -13,7 +14,7 @@ from gantry.llm.quality_rules import op10_quality_rules
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op5_line_dedup, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_near_dedup, op5_line_dedup, op6_decontamination, op8_best_fit_packing, op10_quality_rules)}
 
 
 def llm_sql() -> dict[str, str]:

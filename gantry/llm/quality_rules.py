@@ -29,12 +29,14 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como",
 }
-#: Classes of characters that are counted; what is in none of them is a small letter or else.
+#: Classes of characters that are counted besides white space; the rest are small letters and others.
 CLASSES = {
-    "upper": "\\p{Lu}", "digit": "\\p{Nd}", "space": "\\x20\\x09-\\x0D", "stop": ".,;:'()-",
-    "mark": "!?", "symbol": "#*$%&|<>@^~=+_{}\\\\\\[\\]/`\"",
+    "upper": "\\p{Lu}", "digit": "\\p{Nd}", "stop": ".,;:'()-", "mark": "!?",
+    "symbol": "#*$%&|<>@^~=+_{}\\\\\\[\\]/`\"",
 }
 SYMBOLS = "[^#*$%&|<>]+"
+LISTS = {k: sorted(set(v.split())) for k, v in COMMON_WORDS.items()}
+LISTS[""] = sorted({w for v in LISTS.values() for w in v})
 
 
 @dataclass(frozen=True)
@@ -75,9 +77,24 @@ def repeated_words(tokens: Column, gram: int) -> Column:
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(
             let(ordered, lambda o: let(starts(o), covered)))
 
-    return let(tokens, lambda w: F.when(F.size(w) < gram, F.lit(0).cast("long")).otherwise(let(
-        F.transform(F.sequence(F.lit(0), F.size(w) - gram),
-                    lambda i: F.xxhash64(*(w[i + j] for j in range(gram)))), count)))
+    def grams(have: Column, out: Column | None = None, at: int = 0, bit: int = 0) -> Column:
+        """Hash of the words from each place on, from spans of doubling length that are put together."""
+        if gram >> bit & 1:
+            out, at = have if out is None else _joined(out, have, at), at + (1 << bit)
+        if gram >> bit == 1:
+            return out
+        longer = lambda o: let(_joined(have, have, 1 << bit), lambda h: grams(h, o, at, bit + 1))
+        return longer(None) if out is None else let(out, longer)
+
+    def hashed(w: Column) -> Column:
+        return F.slice(let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: grams(h)), 1, F.size(w) - gram + 1)
+
+    return let(tokens, lambda w: F.when(F.size(w) < gram, F.lit(0).cast("long")).otherwise(let(hashed(w), count)))
+
+
+def _joined(left: Column, right: Column, step: int) -> Column:
+    """Each element of left hashed with the one of right that is `step` places on."""
+    return F.zip_with(left, F.slice(right, step + 1, F.size(right)), lambda a, b: F.xxhash64(a, b))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -90,32 +107,37 @@ def _language(lang: str) -> Column:
     return F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("")
 
 
-def _char_histogram(text: Column) -> Column:
-    counts = F.array(*(_left(text, f"[^{c}]+") for c in CLASSES.values()))
-    return let(counts, lambda c: F.concat(F.array(
-        F.length(text) - F.aggregate(c, F.lit(0), lambda acc, x: acc + x)), c))
+def _parts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """`docs` with _t (text), _l (listed language or empty), _w (words), _wc (their characters) and _r (what
+    is neither a to z nor a blank: all that other counts need)."""
+    own = docs.withColumn("_t", whole_text(text)).withColumn("_l", F.coalesce(_language(lang), F.lit("")))
+    own = own.withColumn("_w", words(F.col("_t"))).withColumn("_r", F.regexp_replace("_t", "[a-z\\x20]+", ""))
+    return own.withColumn("_wc", F.length(F.array_join("_w", "")))
+
+
+def _char_histogram() -> Column:
+    classes = F.array(F.length("_t") - F.col("_wc"), *(_left(F.col("_r"), f"[^{c}]+") for c in CLASSES.values()))
+    return let(classes, lambda c: F.concat(c, F.array(
+        F.length("_t") - F.aggregate(c, F.lit(0), lambda acc, x: acc + x))))
 
 
-def _word_histogram(tokens: Column, language: Column) -> Column:
+def _word_histogram() -> Column:
     """Counts of the words common in the language, and at the end of all other words."""
-    lists = {k: sorted(set(v.split())) for k, v in COMMON_WORDS.items()}
-    lists[""] = sorted({w for v in lists.values() for w in v})
 
     def counted(known: list[str]) -> Column:
-        hits = F.filter(tokens, lambda w: w.isin(*known))
-        return let(hits, lambda h: F.concat(
+        return let(F.filter("_w", lambda w: w.isin(*known)), lambda h: F.concat(
             F.transform(F.array(*map(F.lit, known)), lambda k: F.size(F.filter(h, lambda x: x == k))),
-            F.array(F.size(tokens) - F.size(h))))
+            F.array(F.size("_w") - F.size(h))))
 
-    out = counted(lists[""])
+    out = counted(LISTS[""])
     for lang in COMMON_WORDS:
-        out = F.when(language == lang, counted(lists[lang])).otherwise(out)
+        out = F.when(F.col("_l") == lang, counted(LISTS[lang])).otherwise(out)
     return out
 
 
 def _shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
-    return let(total, lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+    return let(counts, lambda c: let(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x), lambda n: F.transform(
+        c, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -133,23 +155,29 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
 
     At most one row per listed language and one more, whatever the input.
     """
-    def summed(rows: DataFrame, language: Column) -> DataFrame:
-        t = whole_text(text)
-        rows = rows.select(language.alias("language"), t.alias("t"))
-        rows = rows.select("language", "t", words(F.col("t")).alias("w"))
-        rows = rows.select("language", _char_histogram(F.col("t")).alias("c"),
-                           F.transform(_word_histogram(F.col("w"), F.col("language")), lambda x: x).alias("h"))
-        both = F.concat(F.transform("c", lambda x, i: F.struct(F.lit("c").alias("k"), i.alias("i"), x.alias("n"))),
-                        F.transform("h", lambda x, i: F.struct(F.lit("h").alias("k"), i.alias("i"), x.alias("n"))))
-        bins = rows.select("language", F.inline(both)).groupBy("language", "k", "i").agg(F.sum("n").alias("n"))
-        return bins.groupBy("language").agg(*(
-            F.transform(F.array_sort(F.collect_list(F.when(F.col("k") == k, F.struct("i", "n")))),
-                        lambda x: x.n).alias(k) for k in "ch"))
-
-    listed = summed(docs.filter(F.col(lang).isin(*COMMON_WORDS)), _language(lang))
-    rest = summed(docs, F.lit(""))
-    return listed.unionAll(rest).select(
-        "language", _shares(F.col("c")).alias("chars"), _shares(F.col("h")).alias("common"))
+    bins = len(CLASSES) + 2
+    found = F.concat(
+        F.transform(_char_histogram(), lambda n, i: F.struct(F.concat(F.lit("#"), i).alias("bin"), n.cast("long").alias("n"))),
+        F.transform(F.filter("_w", lambda w: w.isin(*LISTS[""])),
+                    lambda w: F.struct(w.alias("bin"), F.lit(1).cast("long").alias("n"))),
+        F.array(F.struct(F.lit("").alias("bin"), F.size("_w").cast("long").alias("n"))))
+    counts = _parts(docs.select(text, lang), text, lang).select("_l", F.inline(found))
+    counts = counts.groupBy("_l", "bin").agg(F.sum("n").alias("n"))
+    counts = counts.select(F.explode(F.array_distinct(F.array("_l", F.lit("")))).alias("_l"), "bin", "n")
+    counts = counts.groupBy("_l", "bin").agg(F.sum("n").alias("n")).groupBy("_l").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+
+    def at(name: str) -> Column:
+        return F.coalesce(F.element_at("m", F.lit(name)), F.lit(0).cast("long"))
+
+    common = F.lit(None).cast("array<long>")
+    for language, known in LISTS.items():
+        listed = F.array(*map(at, known))
+        common = F.when(F.col("_l") == language, let(listed, lambda x: F.concat(
+            x, F.array(at("") - F.aggregate(x, F.lit(0).cast("long"), lambda acc, y: acc + y))))).otherwise(common)
+    return counts.select(
+        F.col("_l").alias("language"), _shares(F.array(*(at(f"#{i}") for i in range(bins)))).alias("chars"),
+        _shares(common).alias("common"))
 
 
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: DataFrame | None = None,
@@ -158,17 +186,14 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: Dat
     refs = references if references is not None else language_references(docs, text, lang)
     # Bounded: one row per listed language and one more.
     refs = F.broadcast(refs.select(*(F.col(c).alias(f"_ref_{c}") for c in ("language", "chars", "common"))))
-    own = docs.withColumn("_t", whole_text(text)).withColumn("_l", _language(lang))
-    own = own.join(refs, F.col("_l") == F.col("_ref_language"), "left")
-    own = own.withColumn("_w", words(F.col("_t")))
-    own = own.withColumns({
+    own = _parts(docs, text, lang).join(refs, F.col("_l") == F.col("_ref_language"), "left").withColumns({
         "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": _left(F.col("_t"), SYMBOLS).cast("long"),
+        "word_chars": F.col("_wc").cast("long"),
+        "n_symbols": _left(F.col("_r"), SYMBOLS).cast("long"),
         "n_dup_lines": repeated_lines(F.col("_t")),
         "n_repeat_words": repeated_words(F.col("_w"), rules.gram),
-        "char_distance": js_distance(_shares(_char_histogram(F.col("_t"))), F.col("_ref_chars")),
-        "word_distance": js_distance(_shares(_word_histogram(F.col("_w"), F.col("_l"))), F.col("_ref_common")),
+        "char_distance": js_distance(_shares(_char_histogram()), F.col("_ref_chars")),
+        "word_distance": js_distance(_shares(_word_histogram()), F.col("_ref_common")),
     })
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
@@ -177,7 +202,7 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: Dat
         & (F.col("n_words") >= rules.min_common_words))
     return own.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop(
-        "_t", "_l", "_w", "_ref_language", "_ref_chars", "_ref_common")
+        "_t", "_l", "_w", "_wc", "_r", "_ref_language", "_ref_chars", "_ref_common")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

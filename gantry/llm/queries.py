@@ -11,11 +11,16 @@ from gantry.llm.line_dedup import OP5_SQL, op5_line_dedup
 from gantry.llm.near_dedup import op3_near_dedup
 from gantry.llm.packing import op8_best_fit_packing
 from gantry.llm.quality_rules import op10_quality_rules
+from gantry.llm.secrets import op2_secret_scans
 from gantry.llm.substring_dedup import op9_substring_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op5_line_dedup, op6_decontamination, op8_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
+    found = (
+        op2_secret_scans, op3_near_dedup, op5_line_dedup, op6_decontamination, op8_best_fit_packing,
+        op9_substring_dedup, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def llm_sql() -> dict[str, str]:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gantry.llm.bloom import filter_bits, holds, positions, seen
 from gantry.llm.common import SPACE, let, read, saved, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,64 +37,6 @@ class LineRules:
     bits_per_line: int = 12
     hashes: int = 4
     max_bits: int = 1 << 28
-    block_bytes: int = 1 << 14
-
-
-def positions(hashed: np.ndarray, bits: int, k: int) -> np.ndarray:
-    """The k bits of each hash, one row each; bits is a power of two."""
-    h = hashed.astype(np.int64).view(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    i = np.arange(k, dtype=np.uint64)[:, None]
-    return ((h + i * step) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.all(bitmap[at >> 3] & (1 << (at & 7)).astype(np.uint8), axis=0)
-
-
-def put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, (at >> 3).ravel(), (1 << (at & 7)).astype(np.uint8).ravel())
-
-
-def _size_of(lines: int, rules: LineRules) -> int:
-    return min(rules.max_bits, max(1 << 16, 1 << (max(1, lines) * rules.bits_per_line - 1).bit_length()))
-
-
-def twice_seen(hashes: DataFrame, bits: int, rules: LineRules) -> bytes:
-    """The filter of hashes that two rows of `hashes` (array column `h`) hold, and some others.
-
-    Its size does not depend on the data; that is all that reaches the driver.
-    """
-    k, block = rules.hashes, rules.block_bytes
-
-    def build(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for frame in batches:
-            for part in range(0, len(frame), 1000):
-                lists = [x for x in frame["h"].iloc[part:part + 1000] if len(x)]
-                if not lists:
-                    continue
-                values, n = np.unique(np.concatenate(lists), return_counts=True)
-                at = positions(values, bits, k)
-                put(twice, at[:, (n > 1) | holds(once, at)])
-                put(once, at)
-        for b in range(0, bits // 8, block):
-            yield pd.DataFrame({"b": [b], "once": [once[b:b + block].tobytes()], "twice": [twice[b:b + block].tobytes()]})
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        once = twice = None
-        for a, b in zip(frame["once"], frame["twice"]):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-        return pd.DataFrame({"b": frame["b"].iloc[:1], "twice": [twice.tobytes()]})
-
-    built = hashes.select("h").coalesce(max(1, hashes.sparkSession.sparkContext.defaultParallelism))
-    built = built.mapInPandas(build, "b long, once binary, twice binary")
-    merged = built.groupBy("b").applyInPandas(merge, "b long, twice binary")
-    bitmap = bytearray(bits // 8)
-    for row in merged.toLocalIterator():
-        bitmap[row.b:row.b + len(row.twice)] = row.twice
-    return bytes(bitmap)
 
 
 def _trimmed(line: Column) -> Column:
@@ -112,8 +55,8 @@ def dropped_lines(rows: DataFrame, rules: LineRules) -> DataFrame:
     hashed = F.transform(F.split("_text", "\n"), lambda x: _hash(x, rules))
     once = saved(rows.select(F.array_distinct(F.filter(hashed, lambda x: x != 0)).alias("h")), "line_hashes")
     lines = once.agg(F.sum(F.size("h"))).first()[0] or 0
-    bits, k = _size_of(lines, rules), rules.hashes
-    bitmap = rows.sparkSession.sparkContext.broadcast(twice_seen(once, bits, rules))
+    bits, k = filter_bits(lines, rules.bits_per_line, rules.max_bits), rules.hashes
+    bitmap = rows.sparkSession.sparkContext.broadcast(seen(once, bits, k, 2))
 
     @F.pandas_udf("array<int>")
     def suspects(column: pd.Series) -> pd.Series:
@@ -132,7 +75,8 @@ def dropped_lines(rows: DataFrame, rules: LineRules) -> DataFrame:
         "s", lambda i: F.struct(i.alias("at"), key(lines[i]).alias("key"))))
     found = saved(found.select("_id", "_text_hash", F.inline(places)), "suspected_lines")
     owner = found.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-    owner = owner.filter("first < last").select("key", "first")
+    # Written, so that the join can split a line that a great many documents hold.
+    owner = saved(owner.filter("first < last").select("key", "first"), "repeated_lines")
     lost = found.join(owner, "key").filter(F.col("_id") > F.col("first"))
     return lost.groupBy("_id", "_text_hash").agg(F.collect_set("at").alias("dropped"))
 

@@ -69,18 +69,18 @@ class Spans:
             np.cumsum(mixed(w ^ np.uint64(base)) * up[:n - 1], out=total[1:])
             self.parts.append((total, down))
 
-    def hashes(self, start: np.ndarray, length) -> list[np.ndarray]:
-        """Two independent hashes of the spans."""
-        return [mixed((t[start + length] - t[start]) * down[start]) for t, down in self.parts]
+    def hashes(self, start: np.ndarray, length, parts: int = 2) -> list[np.ndarray]:
+        """Independent hashes of the spans."""
+        return [mixed((t[start + length] - t[start]) * down[start]) for t, down in self.parts[:parts]]
 
 
-def blocks(w: np.ndarray, rules: PassageRules) -> pd.DataFrame:
-    """name, f1, f2 (its text), windows and start of each block."""
+def blocks(w: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, ...] | None:
+    """name, two hashes of its text, windows and start of each block."""
     n = len(w) - rules.window + 1
     if n < 1:
-        return pd.DataFrame({"name": [], "f1": [], "f2": [], "windows": [], "start": []}, dtype=np.int64)
+        return None
     spans = Spans(w)
-    least = spans.hashes(np.arange(len(w) - rules.anchor + 1), rules.anchor)[0]
+    least = spans.hashes(np.arange(len(w) - rules.anchor + 1), rules.anchor, 1)[0]
     span, width = 1, rules.window - rules.anchor + 1
     while 2 * span <= width:
         least, span = np.minimum(least[:-span], least[span:]), 2 * span
@@ -91,28 +91,36 @@ def blocks(w: np.ndarray, rules: PassageRules) -> pd.DataFrame:
     if (ends - cuts).max() > rules.longest_block:
         cuts = np.concatenate([np.arange(a, b, rules.longest_block) for a, b in zip(cuts, ends)])
         ends = np.append(cuts[1:], n)
-    f1, f2 = spans.hashes(cuts, ends - cuts + rules.window - 1)
-    return pd.DataFrame({"name": least[cuts].view(np.int64), "f1": f1.view(np.int64), "f2": f2.view(np.int64),
-                         "windows": (ends - cuts).astype(np.int32), "start": cuts.astype(np.int32)})
+    return least[cuts], *spans.hashes(cuts, ends - cuts + rules.window - 1), ends - cuts, cuts
 
 
 BLOCK = ["name", "f1", "f2", "windows"]
 
 
 def parsed(rows: DataFrame, rules: PassageRules) -> DataFrame:
+    def told(found: list, ids: list, others: list) -> pd.DataFrame:
+        name, f1, f2, windows, start = (np.concatenate(x) for x in zip(*found))
+        counts = [len(x[0]) for x in found]
+        return pd.DataFrame({
+            "name": name.view(np.int64), "f1": f1.view(np.int64), "f2": f2.view(np.int64),
+            "windows": windows.astype(np.int32), "start": start.astype(np.int32),
+            "_id": np.repeat(np.array(ids, np.int64), counts), "_text_hash": np.repeat(np.array(others, np.int64), counts)})
+
     def run(batches):
         for frame in batches:
-            out, n = [], 0
+            found, ids, others, n = [], [], [], 0
             for key, other, text in zip(frame["_id"], frame["_text_hash"], frame["_text"]):
-                found = blocks(word_hashes(text), rules)
-                if len(found):
-                    out.append(found.assign(_id=key, _text_hash=other))
-                    n += len(found)
+                made = blocks(word_hashes(text), rules)
+                if made is not None:
+                    found.append(made)
+                    ids.append(key)
+                    others.append(other)
+                    n += len(made[0])
                 if n > 100_000:
-                    yield pd.concat(out)
-                    out, n = [], 0
-            if out:
-                yield pd.concat(out)
+                    yield told(found, ids, others)
+                    found, ids, others, n = [], [], [], 0
+            if found:
+                yield told(found, ids, others)
 
     return rows.mapInPandas(
         run, "name long, f1 long, f2 long, windows int, start int, _id long, _text_hash long")

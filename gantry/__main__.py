@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from gantry import sources as IO
 from gantry.plans.notify import Pipeline, accident_notifications, toll_notifications
 from gantry.rules import SegmentRules
 from gantry.session import get_session
 from gantry.streaming.job import Job
+from gantry.streaming.sinks import complete_until
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,34 +30,53 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--interval", type=int, default=1000, help="milliseconds per batch")
     stream.add_argument("--delay", default="60 seconds", help="how late a report may be")
     stream.add_argument("--once", action="store_true", help="take what is there and end")
+    stream.add_argument("--files", type=int, default=1000, help="files per batch and source, at most")
+    for mode in (batch, stream):
+        mode.add_argument("--stop-reports", type=int, default=5, help="identical reports that make a stop")
+        mode.add_argument("--ttl", type=int, help="seconds after which a silent vehicle is new again")
     return parser
 
 
-def read(spark, inputs: list[str], fmt: str):
-    if fmt == "wire":
-        return IO.read_sources(spark, inputs)
-    if fmt == "raw":
-        return IO.raw_to_reports(IO.read_raw(spark, inputs))
-    return spark.read.parquet(*inputs)
+def read(spark, inputs: list[str], fmt: str, out: str):
+    """Reports of the inputs, one per vehicle and second, written once for all stages.
+
+    Lines that are not reports go to `out`/quarantine.
+    """
+    if fmt == "parquet":
+        reports = spark.read.parquet(*inputs)
+    else:
+        lines = spark.read.text(inputs)
+        raw = fmt == "raw"
+        reports = IO.raw_to_reports(IO.parse_raw(lines)) if raw else IO.parse_wire(lines)
+        bad = IO.quarantine_raw(lines) if raw else IO.quarantine(lines)
+        bad = IO.tap(bad, f"{out}/quarantine", "text")
+        if n := bad.count():
+            print(f"{n} lines are not reports: {out}/quarantine")
+    return IO.tap(IO.one_per_second(reports), f"{out}/reports")
 
 
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     rules = SegmentRules(
-        entry_mode="crossing" if args.crossing else "first", direction_aware=args.by_direction
+        entry_mode="crossing" if args.crossing else "first", direction_aware=args.by_direction,
+        stop_reports=args.stop_reports, vehicle_ttl=args.ttl,
     )
     spark = get_session()
     if args.mode == "batch":
         enriched = IO.tap(
-            Pipeline(read(spark, args.inputs, args.format), rules).enriched, f"{args.out}/enriched"
+            Pipeline(read(spark, args.inputs, args.format, args.out), rules,
+                     workdir=f"{args.out}/work-{uuid.uuid4().hex}").enriched,
+            f"{args.out}/enriched",
         )
         IO.notice_csv(toll_notifications(enriched, rules), f"{args.out}/tolls")
         IO.notice_csv(accident_notifications(enriched, rules), f"{args.out}/accidents")
         return
     trigger = None if args.once else f"{args.interval} milliseconds"
-    Job(spark, args.inputs, args.out, rules, trigger, args.delay).start()
+    queries = Job(spark, args.inputs, args.out, rules, trigger, args.delay, args.files).start()
     if trigger:
         spark.streams.awaitAnyTermination()
+    else:
+        print(f"notices are complete up to second {complete_until(queries['notices'])}")
 
 
 if __name__ == "__main__":

@@ -158,7 +158,8 @@ def upstream_scope(accidents: DataFrame, rules: SegmentRules = DEFAULT_RULES) ->
     back = F.sequence(F.greatest(F.col("seg") - rules.upstream, F.lit(0)), F.col("seg"))
     affected = back
     if rules.direction_aware:
-        ahead = F.sequence(F.col("seg"), F.col("seg") + rules.upstream)
+        end = F.least(F.col("seg") + rules.upstream, F.lit(rules.segments - 1))
+        ahead = F.sequence(F.col("seg"), F.greatest(F.col("seg"), end))
         affected = F.when(F.col("dir") == 1, ahead).otherwise(back)
     others = [c for c in rules.segment_cols if c != "seg"]
     return accidents.select(*others, F.explode(affected).alias("seg"), "t0", "t1").select(

@@ -10,6 +10,7 @@ class SegmentRules:
     # Fixed values of the tolling rules.
     stop_reports: int = 5  # identical reports that make a stop
     upstream: int = 4  # segments before an accident that are affected too
+    segments: int = 100  # of an expressway; none lies ahead of the last
     exit_lane: int = 4  # vehicles here get no accident notice
     lav_minutes: int = 4  # preceding minutes in the average velocity
     free_speed: float = 40  # at or above this average the segment is free

@@ -14,17 +14,39 @@ _INT = "[-+]?[0-9]+"
 _LINE = f"^({_INT},){{9}}{_INT}(,.*)?$"
 
 
+def _parsed_raw(lines: DataFrame) -> DataFrame:
+    """Each non-blank line with its 15 fields; `ok` unless type, time or vehicle is unreadable."""
+    parts = F.split(F.trim(F.col("value")), ",")
+    text = [F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i in range(len(S.RAW_FIELDS))]
+    readable = [
+        text[S.RAW_FIELDS.index(f)].isNull() | text[S.RAW_FIELDS.index(f)].try_cast("int").isNotNull()
+        for f in ("type", "time", "vid")
+    ]
+    fields = [
+        F.coalesce(t.try_cast("int"), F.lit(0)).alias(f) for f, t in zip(S.RAW_FIELDS, text)
+    ]
+    ok = reduce(Column.__and__, readable).alias("ok")
+    return lines.filter(F.trim("value") != "").select("value", ok, *fields)
+
+
+def parse_raw(lines: DataFrame) -> DataFrame:
+    """Raw 15-field lines. Missing fields, and unreadable ones that do not say what the report is,
+    become 0; lines without readable type, time and vehicle are what `quarantine_raw` returns."""
+    return _parsed_raw(lines).filter("ok").select(*S.RAW_FIELDS)
+
+
+def quarantine_raw(lines: DataFrame) -> DataFrame:
+    return _parsed_raw(lines).filter("not ok").select("value")
+
+
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw 15-field files. Missing or unreadable fields become 0, blank lines are dropped."""
-    return (
-        spark.read.schema(S.RAW)
-        .csv(path, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        .na.fill(0)
-    )
+    return parse_raw(spark.read.text(path))
 
 
 def raw_to_reports(raw: DataFrame) -> DataFrame:
-    return raw.withColumnRenamed("time", "simulated_time").select(*S.REPORT_FIELDS)
+    """Reports with the fields of requests."""
+    named = raw.withColumnRenamed("time", "simulated_time")
+    return named.select(*S.REPORT_FIELDS, *S.REQUEST_FIELDS)
 
 
 def _or_zero(df: DataFrame, name: str) -> Column:
@@ -78,13 +100,12 @@ def quarantine(lines: DataFrame) -> DataFrame:
 def one_per_second(reports: DataFrame) -> DataFrame:
     """The model's contract: a vehicle sends at most one report of a type per second.
 
-    Of several the one with the least hash stays, so that a repeated task keeps the same.
+    Of several the least stays, by speed first, then the other columns in order.
     """
     keys = ["type", "vid", "simulated_time"]
     rest = [c for c in reports.columns if c not in keys]
-    rank = F.xxhash64(*rest)
-    kept = reports.groupBy(*keys).agg(*[F.min_by(c, rank).alias(c) for c in rest])
-    return kept.select(*reports.columns)
+    kept = reports.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("least"))
+    return kept.select(*keys, "least.*").select(*reports.columns)
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gantry.functions.time import BASE_EPOCH
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -39,24 +42,23 @@ def to_each_batch(
     return _writer(df, checkpoint, trigger).foreachBatch(write).start()
 
 
-def counted(df: DataFrame, name: str) -> DataFrame:
-    """Counts the rows that pass here; read it from the query's progress as `name`."""
-    return df.observe(name, F.count(F.lit(1)).alias("n"))
+def count_batches(path: str, **counts: Column) -> Callable[[DataFrame, int], None]:
+    """Batch writer of one row per batch: how many rows it has, by each of the conditions."""
+    sums = [F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(n) for n, c in counts.items()]
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(*sums).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def batch_counts(query: StreamingQuery, names: list[str]) -> list[tuple]:
-    """(batch, count, ...) of the recent batches with input."""
-    return [
-        (p.batchId, *[p.observedMetrics[n]["n"] for n in names])
-        for p in query.recentProgress if p.numInputRows
-    ]
+    return write
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the stateful operators dropped in recent batches, the watermark having passed them."""
-    return sum(
-        o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators
-    )
+def complete_until(query: StreamingQuery) -> int | None:
+    """The second up to which the query's rows are complete: where its watermark stands."""
+    last = query.lastProgress
+    mark = last and last.eventTime.get("watermark")
+    if not mark:
+        return None
+    return int(datetime.fromisoformat(mark.replace("Z", "+00:00")).timestamp()) - BASE_EPOCH
 
 
 def append_batches(path: str, fmt: str = "csv") -> Callable[[DataFrame, int], None]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,8 @@ from gantry import functions as G
 from gantry import schema as S
 from gantry.sources.reports import parse_wire, to_wire, union_sources
 
-# Key values of a heartbeat: a report of no vehicle on no segment that only tells how far the
-# feed has come. Stages pass it on in event-time order.
+# Key values of a row of no vehicle on no segment that only tells how far the feed has come. The
+# events stage makes one for each closed window, and the others pass it on in event-time order.
 NOBODY, NOWHERE = -1, -1
 
 
@@ -46,8 +46,14 @@ def table_stream(
     return reader.parquet(path)
 
 
-def in_event_time(stream: DataFrame, delay: str, t: str = "simulated_time") -> DataFrame:
-    return stream.withColumn("ts", G.event_time(t)).withWatermark("ts", delay)
+def in_event_time(
+    stream: DataFrame, delay: str, t: str = "simulated_time", beat: Column | None = None
+) -> DataFrame:
+    """The stream with its event time; a row for which `beat` holds stands for its whole second."""
+    ts = G.event_time(t)
+    if beat is not None:
+        ts = F.when(beat, ts + F.expr("interval 999 milliseconds")).otherwise(ts)
+    return stream.withColumn("ts", ts).withWatermark("ts", delay)
 
 
 def heartbeats(spark: SparkSession, times: list[int]) -> DataFrame:
@@ -61,16 +67,19 @@ def heartbeats(spark: SparkSession, times: list[int]) -> DataFrame:
 
 
 def write_slices(
-    reports: DataFrame, path: str, edges: list[int], files_per_slice: int = 1,
+    reports: DataFrame, path: str, edges: list[int | None], files_per_slice: int = 1,
     wall_base_ms: int | None = 0,
 ) -> None:
     """Append the reports to a folder of wire text, one time slice after the other, so that a
     stream with `files_per_slice` files per trigger gets them in time order at a fixed rate.
 
-    `edges` are the slices' bounds [e0, e1), [e1, e2), ...
+    `edges` are the slices' bounds [e0, e1), [e1, e2), ...; None for a first or last slice that
+    is open.
     """
+    t = F.col("simulated_time")
     for lo, hi in zip(edges, edges[1:]):
-        part = reports.filter((F.col("simulated_time") >= lo) & (F.col("simulated_time") < hi))
+        part = reports if lo is None else reports.filter(t >= lo)
+        part = part if hi is None else part.filter(t < hi)
         append_slice(part, path, files_per_slice, wall_base_ms)
 
 
@@ -80,11 +89,9 @@ def append_slice(
     to_wire(reports, wall_base_ms).repartition(files).write.mode("append").text(path)
 
 
-def close_feed(spark: SparkSession, path: str, last: int, hops: int, spacing: int = 86400) -> None:
-    """End a replay: one heartbeat per hop, each far behind the last, so that every stage sees its
-    watermark pass the last report."""
-    times = [last + spacing * (i + 1) for i in range(hops)]
-    append_slice(heartbeats(spark, times), path)
+def close_feed(spark: SparkSession, path: str, last: int, spacing: int = 86400) -> None:
+    """End a replay: a row of no vehicle far behind the last report lets every window close."""
+    append_slice(heartbeats(spark, [last + spacing]), path)
 
 
 def union_streams(streams: list[DataFrame]) -> DataFrame:

@@ -12,15 +12,22 @@ from gantry.operators.positions import positions
 from gantry.operators.stats import LAV_DIGITS
 from gantry.rules import DEFAULT_RULES, SegmentRules
 from gantry.streaming import processors as PR
-from gantry.streaming.source import NOWHERE, in_event_time, union_streams
+from gantry.streaming.source import NOBODY, NOWHERE, in_event_time, union_streams
 
-DELAY = "60 seconds"
+# How late a report may be, and rows of a table that a stage writes: these come in order of time.
+DELAY, IN_ORDER = "60 seconds", "0 seconds"
 
 
 def _second(ts) -> F.Column:
     return (F.unix_timestamp(ts) - BASE_EPOCH).cast("int")
 
 
+def _one_per_second(reports) -> F.Column:
+    """Of several reports in a second the least stays, as in `one_per_second`."""
+    return F.transform(F.array(F.sort_array(reports)), lambda r: F.filter(
+        r, lambda x, i: (i == 0) | (r[F.greatest(i - 1, F.lit(0))].t != x.t)))[0]
+
+
 def vehicle_events(
     reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY,
     pace: str = "1 minute",
@@ -29,15 +36,23 @@ def vehicle_events(
 
     The watermarked aggregation holds a vehicle's reports back, `pace` of time in one list, until
     none can be missing; so the tracker sees later batches for later times only, and keeps no
-    reports itself.
+    reports itself. With each closed window of the whole feed goes a row of no vehicle, which tells
+    the later stages how far events are complete, whether or not any vehicle stops.
     """
     report = F.struct("t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms")
+    nobody = F.col("who") == NOBODY
+    closed = F.struct(
+        (_second("w.end") - 1).alias("t"), *(F.lit(v).alias(c) for c, v in (
+            ("speed", 0), ("xway", NOWHERE), ("lane", 0), ("dir", 0), ("seg", NOWHERE), ("pos", 0))),
+        F.lit(None).cast("long").alias("wall_ms"))
     complete = (
         in_event_time(positions(reports), delay)
         .withColumnRenamed("simulated_time", "t")
-        .groupBy(F.window("ts", pace).alias("w"), "vid")
-        .agg(F.collect_list(report).alias("reports"))
-        .select("vid", F.inline("reports"))
+        .withColumn("who", F.explode(F.array_distinct(F.array("vid", F.lit(NOBODY)))))
+        .groupBy(F.window("ts", pace).alias("w"), "who")
+        .agg(F.collect_list(F.when(~nobody, report)).alias("reports"))
+        .select(F.col("who").alias("vid"), F.inline(
+            F.when(nobody, F.array(closed)).otherwise(_one_per_second(F.col("reports")))))
     )
     return complete.groupBy("vid").transformWithState(
         PR.VehicleTracker(rules), PR.EVENTS, "append", "none"
@@ -110,14 +125,15 @@ def segment_history(
 
 
 def accident_changes(
-    events: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
+    events: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = IN_ORDER
 ) -> DataFrame:
     """Starts and ends of segments' accidents from stops and moves."""
     stops = events.filter(F.col("kind") != PR.ENTRY)
     # The direction is part of the key only where rules say so; else it is 0.
     if not rules.direction_aware:
         stops = stops.withColumn("dir", F.lit(0))
-    return in_event_time(stops, delay, "t").groupBy("xway", "dir", "seg").transformWithState(
+    beat = F.col("kind") == PR.HEARTBEAT
+    return in_event_time(stops, delay, "t", beat).groupBy("xway", "dir", "seg").transformWithState(
         PR.AccidentTracker(), PR.SIGNALS, "append", "eventTime"
     )
 
@@ -127,16 +143,15 @@ def scope_signals(changes: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> Da
     seg = F.col("seg")
     affected = F.sequence(F.greatest(seg - rules.upstream, F.lit(0)), seg)
     if rules.direction_aware:
-        affected = F.when(F.col("dir") == 1, F.sequence(seg, seg + rules.upstream)).otherwise(
-            affected
-        )
+        ahead = F.sequence(seg, F.greatest(seg, F.least(seg + rules.upstream, F.lit(rules.segments - 1))))
+        affected = F.when(F.col("dir") == 1, ahead).otherwise(affected)
     affected = F.when(F.col("kind") == PR.HEARTBEAT, F.array(seg)).otherwise(affected)
     return changes.withColumn("source", seg).withColumn("seg", F.explode(affected))
 
 
 def notices(
     events: DataFrame, signals: DataFrame, history: DataFrame,
-    rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY,
+    rules: SegmentRules = DEFAULT_RULES, delay: str = IN_ORDER,
 ) -> DataFrame:
     """Toll and accident notices of the entries among `events`.
 
@@ -147,19 +162,20 @@ def notices(
     all_shares = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     entered = events.filter(F.col("kind").isin(PR.ENTRY, PR.HEARTBEAT)).select(
         F.lit(PR.ENTERED).alias("kind"), "vid", "t", "xway", "dir", "seg", "lane", "pos",
-        "wall_ms", G.salt_of(n, "vid").alias("share"),
+        "wall_ms", G.salt_of(n, "vid").alias("share"), (F.col("vid") == NOBODY).alias("beat"),
     )
     changed = signals.select(
         F.when(F.col("is_new"), PR.START).otherwise(PR.CLEAR).alias("kind"), "t", "xway", "dir",
-        "seg", "source", all_shares.alias("share"),
+        "seg", "source", all_shares.alias("share"), (F.col("seg") == NOWHERE).alias("beat"),
     )
     known = history.select(
         F.lit(PR.STATS).alias("kind"), G.minute_start("minute").alias("t"), "xway",
         *(["dir"] if rules.direction_aware else []), "seg", "minute",
         F.col("lav").cast("int").alias("lav"), "toll", all_shares.alias("share"),
+        F.lit(False).alias("beat"),
     )
     # One watermark per input: the slowest decides.
-    both = union_streams([in_event_time(s, delay, "t") for s in (entered, changed, known)])
+    both = union_streams([in_event_time(s, delay, "t", F.col("beat")) for s in (entered, changed, known)])
     if not rules.direction_aware:
         both = both.withColumn("dir", F.lit(0))
     # Heartbeats have done their part once the watermark is taken; they belong to no segment.

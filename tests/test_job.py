@@ -1,6 +1,7 @@
 """The command line, and the four queries running side by side."""
 
 import model
+import pytest
 from conftest import rows
 from test_model import traffic
 from test_streaming import table
@@ -51,7 +52,7 @@ def test_running_queries(spark):
             q.processAllAvailable()
         for half, feed in zip(halves, feeds):
             SO.write_slices(half, feed, [400, last])
-        SO.close_feed(spark, feeds[0], last, 4)
+        SO.close_feed(spark, feeds[0], last)
         for q in queries.values():
             q.processAllAvailable()
     finally:
@@ -66,7 +67,24 @@ def test_running_queries(spark):
 def test_once(spark):
     root = scratch_dir(spark, "once")
     SO.write_slices(table(spark, REPORTS), f"{root}/feed", [0, 10_000])
-    SO.close_feed(spark, f"{root}/feed", 10_000, 4)
+    SO.close_feed(spark, f"{root}/feed", 10_000)
     main(["--crossing", "stream", f"{root}/out", f"{root}/feed", "--once"])
     got = spark.read.parquet(f"{root}/out/notices").filter("vid >= 0")
     assert got.count() == len(model.notices(REPORTS, RULES))
+    with pytest.raises(ValueError):
+        main(["stream", f"{root}/out", f"{root}/feed", "--once"])
+
+
+def test_bad_lines_are_kept(spark, capsys):
+    root = scratch_dir(spark, "bad")
+    IO.to_wire(table(spark, REPORTS)).unionByName(
+        spark.createDataFrame([("0,1,2",), ("not a report",)], "value string")).write.text(f"{root}/wire")
+    spark.createDataFrame([("0,5,7,55,1,2,0,33,174500",), ("xx,5,3,4",)], "value string").write.text(f"{root}/raw")
+    main(["batch", f"{root}/out", f"{root}/wire"])
+    main(["batch", f"{root}/out-raw", f"{root}/raw", "--format", "raw"])
+    assert rows(spark.read.text(f"{root}/out/quarantine")) == [("0,1,2",), ("not a report",)]
+    assert rows(spark.read.text(f"{root}/out-raw/quarantine")) == [("xx,5,3,4",)]
+    assert "2 lines are not reports" in capsys.readouterr().out
+    main(["stream", f"{root}/stream", f"{root}/wire", "--once"])
+    assert rows(spark.read.text(f"{root}/stream/quarantine")) == [("0,1,2",), ("not a report",)]
+    assert "complete up to second" in capsys.readouterr().out

@@ -35,9 +35,13 @@ def test_wire_round_trip(make):
 
 def test_raw_files(spark):
     path = scratch_dir(spark, "raw")
-    text(spark, "0,5,7,55,1,2,0,33,174500,0,0,0,0,0,0", "0,6,7", "", "0,x,8,1").write.text(path)
+    text(spark, "0,5,7,55,1,2,0,33,174500,0,0,0,0,0,0", "0,6,7", "", "0,x,8,1",
+         "xx,5,3,4", "2,9, 4,fast,,1,0,12,5,34,1,600,9,8,7").write.text(path)
     got = rows(IO.read_raw(spark, path), "time", "vid", "speed", "seg", "day")
-    assert got == [(0, 8, 1, 0, 0), (5, 7, 55, 33, 0), (6, 7, 0, 0, 0)]
+    assert got == [(5, 7, 55, 33, 0), (6, 7, 0, 0, 0), (9, 4, 0, 12, 7)]
+    assert rows(IO.quarantine_raw(spark.read.text(path))) == [("0,x,8,1",), ("xx,5,3,4",)]
+    wire = IO.to_wire(IO.raw_to_reports(IO.read_raw(spark, path)), 0)
+    assert "2,9000,4,0,0,1,0,12,5,9,34,1,600,9,8,7" in {r[0] for r in rows(wire)}
 
 
 def test_sources_are_joined(spark, make):

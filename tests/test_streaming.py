@@ -3,16 +3,20 @@
 import model
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from test_model import traffic
 
 from gantry import SegmentRules
-from gantry.plans import streams as Q
+from gantry import sources as IO
 from gantry.schema import REPORT_FIELDS
 from gantry.session import scratch_dir
 from gantry.streaming import processors as PR
 from gantry.streaming import sinks as SK
 from gantry.streaming import source as SO
 from gantry.streaming import stages as SG
+from gantry.streaming.job import Job
+
+REPORT = dict(type=0, simulated_time=0, vid=1, speed=50, xway=0, lane=1, dir=0, seg=0, pos=0)
 
 
 def table(spark, reports):
@@ -28,7 +32,7 @@ class Feed:
     def __init__(self, spark, reports, rules, edges):
         self.spark, self.rules, self.root = spark, rules, scratch_dir(spark, "feed")
         SO.write_slices(table(spark, reports), f"{self.root}/feed", edges)
-        SO.close_feed(spark, f"{self.root}/feed", edges[-1], Q.HOPS)
+        SO.close_feed(spark, f"{self.root}/feed", edges[-1])
 
     def reports(self):
         return SO.report_stream(SO.line_stream(self.spark, f"{self.root}/feed", 1))
@@ -62,6 +66,68 @@ def test_notices(spark, options):
     assert any(r[0] == 1 for r in want) and any(r[4] for r in want)
 
 
+def plain_feed(spark, reports, rules):
+    """Notices of a feed in six files without any row but reports, and the second they reach."""
+    root = scratch_dir(spark, "plain")
+    last = max(r["simulated_time"] for r in reports)
+    for k in range(6):
+        part = [r for r in reports if r["simulated_time"] * 6 // (last + 1) == k]
+        SO.append_slice(table(spark, part), f"{root}/feed")
+    queries = Job(spark, [f"{root}/feed"], f"{root}/out", rules, files_per_trigger=1).start()
+    until = SK.complete_until(queries["notices"])
+    got = spark.read.schema(PR.NOTICES).parquet(f"{root}/out/notices").filter("vid >= 0")
+    return sorted(map(tuple, got.drop("report_wall_ms").collect()), key=repr), until
+
+
+@pytest.mark.parametrize("standing", [None, 300])
+def test_feed_without_heartbeats(spark, standing):
+    """Nobody ever stops, or the only accident is over early: notices keep coming all the same."""
+    reports = []
+    for vid in range(8):
+        for k in range(60):
+            t = k * 30 + vid
+            pos = 40 * k + vid
+            if standing and vid < 2 and t < standing:
+                pos = 607
+            reports.append(dict(type=0, simulated_time=t, vid=vid, speed=40 + vid, xway=0, lane=1, dir=0,
+                                seg=pos // 200, pos=pos))
+    rules = SegmentRules(entry_mode="crossing", free_nov=0, free_speed=45)
+    got, until = plain_feed(spark, reports, rules)
+    want = [n for n in model.notices(reports, rules) if n[2] <= until]
+    assert until > 1500 and len(want) > 60
+    assert got == sorted(map(tuple, want), key=repr)
+    assert any(n[0] == 1 for n in want) == bool(standing)
+
+
+def test_counts_of_more_batches_than_progress_keeps(spark):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    root = scratch_dir(spark, "counts")
+    try:
+        for k in range(6):
+            SO.append_slice(table(spark, [dict(REPORT, simulated_time=k, type=2 * (k % 2))]), f"{root}/feed")
+        stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1))
+        counts = SK.count_batches(f"{root}/out", reports=F.lit(True), positions=F.col("type") == 0)
+        SK.finish(SK.to_each_batch(stream, counts, f"{root}/checkpoint"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert rows(spark.read.parquet(f"{root}/out"), "batch", "reports", "positions") == [
+        (k, 1, 1 - k % 2) for k in range(6)]
+
+
+def test_two_reports_in_a_second(spark):
+    """The least counts, in batch and stream alike."""
+    twice = [dict(REPORT, vid=v, simulated_time=t, seg=s, pos=s) for v, t, s in [(1, 0, 3), (1, 0, 2), (1, 30, 4), (2, 9, 9)]]
+    kept = rows(IO.one_per_second(table(spark, twice)), "vid", "simulated_time", "seg")
+    assert kept == [(1, 0, 2), (1, 30, 4), (2, 9, 9)]
+    root = scratch_dir(spark, "twice")
+    SO.append_slice(table(spark, twice), f"{root}/feed")
+    SO.close_feed(spark, f"{root}/feed", 100)
+    stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed"))
+    SK.finish(SK.to_files(SG.vehicle_events(stream), f"{root}/out", f"{root}/checkpoint"))
+    events = spark.read.schema(PR.EVENTS).parquet(f"{root}/out").filter(f"kind = {PR.ENTRY}")
+    assert rows(events, "vid", "t", "seg") == kept
+
+
 def test_disorder_within_the_delay(spark):
     """Reports up to a minute late arrive after newer ones and still count in their place."""
     reports, rules = traffic(9, vehicles=6), SegmentRules(entry_mode="crossing")
@@ -71,7 +137,7 @@ def test_disorder_within_the_delay(spark):
     late = [r for r in reports if r not in early]
     for part in (early, late):
         SO.append_slice(table(spark, part), f"{root}/feed")
-    SO.close_feed(spark, f"{root}/feed", 10_000, 1)
+    SO.close_feed(spark, f"{root}/feed", 10_000)
     stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1))
     SK.finish(SK.to_files(SG.vehicle_events(stream, rules), f"{root}/out", f"{root}/checkpoint"))
     events = spark.read.schema(PR.EVENTS).parquet(f"{root}/out")

@@ -49,22 +49,30 @@ def stopped_vehicles(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES)
     )
 
 
-def covered(intervals: DataFrame, by: list[str], depth: int) -> DataFrame:
+def covered(intervals: DataFrame, by: list[str], depth: int, chunk: int = 1800) -> DataFrame:
     """Maximal [t0, t1) during which at least `depth` intervals of a group are open.
 
-    Starts and ends are summed per second before they meet in their group, which then holds at
-    most one row per second.
+    Starts and ends are summed per second, then run through in pieces of `chunk` seconds, each of
+    which goes on from the sum of the pieces before it. Only the changes from below to above the
+    depth and back meet in their group.
     """
     edges = F.array(
         F.struct(F.col("t0").alias("t"), F.lit(1).alias("d")),
         F.struct(F.col("t1").alias("t"), F.lit(-1).alias("d")),
     )
     w = W.partitionBy(*by).orderBy("t")
-    open_now = F.sum("d").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (
+    within = W.partitionBy(*by, "piece").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    changes = (
         intervals.select(*by, F.inline(edges)).filter(F.col("t").isNotNull())
-        .groupBy(*by, "t").agg(F.sum("d").alias("d")).filter(F.col("d") != 0)
-        .withColumn("open", open_now)
+        .groupBy(*by, F.floor(F.col("t") / chunk).alias("piece"), "t").agg(F.sum("d").alias("d"))
+        .filter(F.col("d") != 0)
+    )
+    carried = changes.groupBy(*by, "piece").agg(F.sum("d").alias("d")).select(
+        *by, "piece", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("was"))
+    return (
+        changes.join(carried, [*by, "piece"])
+        .withColumn("open", F.col("was") + F.sum("d").over(within))
         .withColumn("deep", F.col("open") >= depth)
         .filter(F.col("deep") != (F.col("open") - F.col("d") >= depth))
         .withColumn("t1", F.lead("t").over(w))

@@ -14,26 +14,40 @@ def asof_join(
     on: str,
     values: list[str],
     allow_exact: bool = True,
+    chunk: int = 1800,
 ) -> DataFrame:
     """`left` with the `values` of the `right` row with equal `by` and the greatest `on` not after
     (or, without `allow_exact`, before) its own; null if there is none. `right` has one row per
     `by` and `on`.
 
-    The merge runs over the distinct times of a group, not over its rows, so its size is bounded
-    by the seconds covered; the rows then look their time up with an equi join.
+    The merge runs over the distinct times of a group within pieces of `chunk`; what is last in a
+    piece is carried on over a table with a row per piece. The rows then look their time up with an
+    equi join.
     """
-    taken = F.struct(*[F.col(v) for v in values])
-    times = left.select(*by, on).distinct().withColumn("_v", F.lit(None).cast(
-        right.select(taken.alias("_v")).schema["_v"].dataType
-    ))
+    taken = F.struct(*[F.col(v) for v in values]).alias("_v")
+    piece = F.floor(F.col(on) / chunk).alias("_piece")
+    none = F.lit(None).cast(right.select(taken).schema["_v"].dataType)
+    times = left.select(*by, on).distinct().withColumn("_v", none)
     own_rank, other_rank = (1, 0) if allow_exact else (0, 1)
     merged = times.withColumn("_rank", F.lit(own_rank)).unionByName(
-        right.select(*by, on, taken.alias("_v"), F.lit(other_rank).alias("_rank"))
+        right.select(*by, on, taken, F.lit(other_rank).alias("_rank"))
+    ).withColumn("_piece", piece)
+
+    ends = right.groupBy(*by, piece).agg(F.max_by(F.struct(*values), on).alias("_last"))
+    asked = left.select(*by, piece).distinct().withColumn("_last", none)
+    before = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        ends.unionByName(asked)
+        .groupBy(*by, "_piece").agg(F.first("_last", ignorenulls=True).alias("_last"))
+        .select(*by, "_piece", F.last("_last", ignorenulls=True).over(before).alias("_before"))
     )
-    w = W.partitionBy(*by).orderBy(on, "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    within = W.partitionBy(*by, "_piece").orderBy(on, "_rank")
+    within = within.rowsBetween(W.unboundedPreceding, W.currentRow)
     lookup = (
-        merged.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
+        merged.withColumn("_v", F.last("_v", ignorenulls=True).over(within))
         .filter(F.col("_rank") == own_rank)
-        .select(*by, on, "_v")
+        .join(carried, [*by, "_piece"], "left")
+        .select(*by, on, F.coalesce("_v", "_before").alias("_v"))
     )
     return left.join(lookup, [*by, on], "left").select("*", "_v.*").drop("_v")

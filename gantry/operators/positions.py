@@ -48,12 +48,10 @@ def segment_blocks(positions: DataFrame, blocks: int) -> DataFrame:
 
 
 def write_by_block(
-    positions: DataFrame, path: str, blocks: int, rules: SegmentRules = DEFAULT_RULES
+    positions: DataFrame, path: str, blocks: int
 ) -> None:
-    """Store reports in one folder per block, each block written by several tasks."""
-    share = G.salt_of(rules.vehicle_salts, "vid", "simulated_time")
+    """Store reports in one folder per block, each block written by as many tasks as it needs."""
     (
-        positions.withColumn("block", G.segment_block(blocks))
-        .repartition("block", share)
+        positions.withColumn("block", G.segment_block(blocks)).hint("rebalance", F.col("block"))
         .write.mode("overwrite").partitionBy("block").parquet(path)
     )

@@ -383,6 +383,7 @@ def queries_sql() -> dict[str, str]:
     out["s_metrics"] = sql("""
         select cast(floor(simulated_time / 2400) as int) as batch, count(*) as reports,
           count(*) filter (where type = 0) as positions from reports group by 1""", "reports")
+    out["s_latency"] = sql("select count(*) as n, true as in_order from entries", "entries")
     out["s_minute_stats"] = sql("select xway, seg, minute, round(a, 6) as a, n from sm", "sm")
     out["s_segment_stats"] = sql("""
         select xway, seg, minute, round(s.lav, 6) as lav, s.nov, t.toll

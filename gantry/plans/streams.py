@@ -273,6 +273,7 @@ def _latency(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("kind") == PR.ENTRY)
         .agg(F.count("*").alias("n"), F.percentile_approx(took, 0.5).alias("p50_ms"),
              F.percentile_approx(took, 0.95).alias("p95_ms"))
+        .select("n", ((F.col("p50_ms") >= 0) & (F.col("p50_ms") <= F.col("p95_ms"))).alias("in_order"))
     )
 
 

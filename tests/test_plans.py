@@ -28,6 +28,14 @@ def test_no_pairs_and_no_python(spark, name):
         assert bad not in text
 
 
+@pytest.mark.parametrize("name", ["asof_toll", "asof_stats", "accident_timeline"])
+def test_histories_are_split_by_time(spark, name):
+    """Rows meet by segment and piece of time; by segment alone only a row per piece or change."""
+    text = plan(QUERIES[name](spark, SF))
+    assert re.search(r"Window \[last\(_v#[^\n]*\], \[xway#\d+, seg#\d+, _piece#", text)
+    assert not re.search(r"Window \[last\(_v#[^\n]*\], \[xway#\d+, seg#\d+\],", text)
+
+
 def test_traces_are_split_by_time(spark):
     p = pipeline(spark, SF)
     text = plan(TR.same_position_runs(p.positions))

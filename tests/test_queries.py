@@ -18,7 +18,7 @@ def con():
 
 def test_every_text_belongs_to_a_query():
     assert set(TEXTS) <= set(QUERIES)
-    assert set(QUERIES) - set(TEXTS) == {"s_latency"}
+    assert set(QUERIES) == set(TEXTS)
 
 
 @pytest.mark.parametrize("name", sorted(TEXTS))
@@ -27,11 +27,6 @@ def test_query(spark, con, name):
     assert compare(spark, con, QUERIES[name], TEXTS[name], SF) in (None, "no rows")
 
 
-def test_latency(spark):
-    row = QUERIES["s_latency"](spark, SF).first()
-    assert row.n == 100 and 0 <= row.p50_ms <= row.p95_ms
-
-
 def test_entry(spark):
     df = driver.entry(spark)
     assert df.columns == ["kind", "vid", "t", "lav", "toll", "seg", "pos"] and df.count() == 101

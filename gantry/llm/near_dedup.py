@@ -8,9 +8,10 @@
    equal weights is the plain one.
 2. Documents with the same shingles are one text. Bands of registers put texts into buckets.
 3. In each bucket, every text is verified against one hub, the text that meets most others over all
-   bands, by the exact Jaccard similarity of the shingles. What is then still in different groups
-   within a bucket is verified pair by pair, except within the bucket's largest group. So a bucket of
-   n near copies costs n pairs, and no link between groups is left out.
+   bands, by the exact Jaccard similarity of the shingles: n texts cost n pairs. Texts of a hub that
+   are then in different groups are verified with each other if they can be similar enough, by what
+   each shares with the hub and what with any other text; that rules out copies with many words of
+   their own.
 4. Groups are the connected components of the verified links.
 
 With the default bands (24 of 5 registers) a pair of similarity 0.8 meets with probability 0.9999.
@@ -23,14 +24,16 @@ gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gantry.llm.bloom import filter_bits, holds, positions, seen
 from gantry.llm.common import components, read, saved, whole_text
 
 NO_ID = 1 << 62
@@ -43,6 +46,9 @@ class NearRules:
     bands: int = 24
     rows: int = 5
     batch_shingles: int = 400_000
+    #: size of the Bloom filters: per entry, and at most
+    filter_bits: int = 12
+    max_filter_bits: int = 1 << 28
 
 
 class WordHashes(dict):
@@ -144,38 +150,109 @@ def signed(docs: DataFrame, rules: NearRules) -> DataFrame:
     return docs.mapInPandas(run, "_id long, digest binary, buckets array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
-    """The (a, b) of `pairs` whose texts are similar enough."""
-    needed = pairs.select(F.col("a").alias("_id")).unionAll(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = saved(docs.join(needed, "_id", "left_semi").dropDuplicates(["_id"]), "candidate_texts")
-    left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
-    right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("text_b"))
+def picked(docs: DataFrame, ids: DataFrame, rules: NearRules) -> DataFrame:
+    """One row of `docs` for each of the `ids` (column _id).
+
+    A Bloom filter of the ids, bounded in size, takes most other texts out before the shuffle.
+    """
+    ids = saved(ids.distinct(), "picked_ids")
+    bits = filter_bits(ids.count(), rules.filter_bits, rules.max_filter_bits >> 3)
+    hashed = F.xxhash64("_id")
+    bitmap = docs.sparkSession.sparkContext.broadcast(seen(ids.select(F.array(hashed).alias("h")), bits, 3, 1))
+
+    @F.pandas_udf("boolean")
+    def likely(h: pd.Series) -> pd.Series:
+        return pd.Series(holds(np.frombuffer(bitmap.value, np.uint8), positions(h.to_numpy(), bits, 3)))
+
+    few = docs.filter(likely(hashed)).join(ids, "_id", "left_semi")
+    return few.groupBy("_id").agg(F.first("_text").alias("_text"))
+
+
+COMPARED = "a long, b long, n_a int, n_b int, common int, outside int"
+
+
+def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, shingles_of, known: Callable | None = None) -> DataFrame:
+    """Shingles of a and b, those in common, and those of b that `known` holds and a has not.
+
+    left (a, x) and right (b, y) have what shingles_of() makes shingles of.
+    """
 
     def run(batches):
         last, mine = None, None
         for frame in batches:
-            keep = []
-            for a, x, y in zip(frame["a"], frame["text_a"], frame["text_b"]):
+            out = []
+            for a, b, x, y in zip(frame["a"], frame["b"], frame["x"], frame["y"]):
                 if a != last:
-                    last, mine = a, shingles(x, rules.words)[0]
-                other = shingles(y, rules.words)[0]
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(common >= rules.similarity * (len(mine) + len(other) - common) - 1e-9)
-            yield frame.loc[keep, ["a", "b"]]
+                    last, mine = a, shingles_of(x)
+                other = shingles_of(y)
+                more = np.setdiff1d(other, mine, assume_unique=True)
+                out.append((a, b, len(mine), len(other), len(other) - len(more), int(known(more).sum()) if known else 0))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "common", "outside"])
+
+    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInPandas(run, COMPARED)
+
 
-    return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
+def similar(rules: NearRules) -> Column:
+    return F.col("common") >= rules.similarity * (F.col("n_a") + F.col("n_b") - F.col("common")) - 1e-9
 
 
-def with_ids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(_id, _text): a row without id gets one of its own from its text."""
-    t = whole_text(text)
-    return docs.select(
-        F.coalesce(F.col(doc_id), F.lit(NO_ID) + F.pmod(F.xxhash64(t), F.lit(NO_ID >> 1))).alias("_id"), t.alias("_text"))
+def rest_links(stars: DataFrame, groups: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+    """Links between texts that meet the same hub and are not yet in one group.
+
+    Two texts share at most what both share with the hub, and besides that what others have, too: few
+    pairs can be similar enough. A Bloom filter tells what others have, sometimes too much, never too
+    little.
+    """
+    met = stars.select("a", F.col("b").alias("id")).unionAll(stars.select("a", F.col("a").alias("id")).distinct())
+    placed = met.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    placed = saved(placed.select("a", "id", F.coalesce("root", "id").alias("root")), "met_texts")
+    sizes = placed.groupBy("a", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("a").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+    several = saved(several.filter("roots > 1").select("a", F.col("top.root").alias("top")), "mixed_hubs")
+    mixed_up = saved(placed.join(several, "a"), "mixed_texts")
+
+    def listed(batches):
+        for frame in batches:
+            found = [shingles(t, rules.words)[0].view(np.int64) for t in frame["_text"]]
+            yield pd.DataFrame({"id": frame["_id"], "h": found})
+
+    texts = picked(docs, mixed_up.select(F.col("id").alias("_id")), rules)
+    sets = saved(texts.mapInPandas(listed, "id long, h array<long>"), "shingle_sets")
+    total = sets.agg(F.sum(F.size("h"))).first()[0] or 0
+    bits = filter_bits(total, rules.filter_bits, rules.max_filter_bits)
+    bitmap = docs.sparkSession.sparkContext.broadcast(seen(sets, bits, 4, 2))
+
+    def unsigned(h):
+        return np.asarray(h, np.int64).view(np.uint64)
+
+    def known(h):
+        return holds(np.frombuffer(bitmap.value, np.uint8), positions(h, bits, 4))
+
+    left, right = (sets.select(F.col("id").alias(i), F.col("h").alias(h)) for i, h in (("a", "x"), ("b", "y")))
+    told = saved(compared(mixed_up.select("a", F.col("id").alias("b")), left, right, unsigned, known), "shared_shingles")
+    able = mixed_up.join(told.select("a", F.col("b").alias("id"), F.col("n_b").alias("n"), "common", "outside"), ["a", "id"])
+    able = able.filter(F.col("common") + F.col("outside") >= rules.similarity * F.col("n") - 1e-9)
+    columns = ("id", "root", "n", "common", "outside")
+    one = able.filter("root != top").select("a", *(F.col(c).alias(f"{c}_1") for c in columns))
+    two = able.select("a", "top", *(F.col(c).alias(f"{c}_2") for c in columns))
+    most = F.least("common_1", "common_2") + F.least("outside_1", "outside_2")
+    enough = most >= rules.similarity / (1 + rules.similarity) * (F.col("n_1") + F.col("n_2")) - 1e-9
+    pairs = one.join(two, (one["a"] == two["a"]) & (F.col("root_1") != F.col("root_2")) & enough
+                     & ((F.col("root_2") == F.col("top")) | (F.col("id_1") < F.col("id_2"))))
+    pairs = pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct()
+    tried = stars.select("a", "b").unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "rest_pairs")
+    return compared(pairs, left, right, unsigned).filter(similar(rules)).select("a", "b")
+
+
+def row_id(text: str, doc_id: str) -> Column:
+    """The id; a row without one gets one of its own from its text."""
+    return F.coalesce(F.col(doc_id), F.lit(NO_ID) + F.pmod(F.xxhash64(whole_text(text)), F.lit(NO_ID >> 1)))
 
 
 def near_classes(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_id, class): for every distinct row id, the smallest id of its group; see with_ids()."""
-    rows = with_ids(docs, text, doc_id)
+    """(_id, class): for every distinct row id, the smallest id of its group; see row_id()."""
+    rows = docs.select(row_id(text, doc_id).alias("_id"), whole_text(text).alias("_text"))
     sig = saved(signed(rows, rules), "signatures")
     texts = saved(sig.groupBy("digest").agg(F.min("_id").alias("id"), F.first("buckets").alias("buckets")), "distinct_texts")
 
@@ -188,22 +265,12 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules(), text: str = "t
     hubs = hubs.select("bucket", (-F.col("h.m")).alias("a"))
     stars = entries.join(hubs, "bucket").filter("id != a").select("a", F.col("id").alias("b")).distinct()
     stars = saved(stars, "star_pairs")
-    links = saved(verified(stars, rows, rules), "links")
+    candidates = saved(picked(rows, stars.select(F.explode(F.array("a", "b")).alias("_id")), rules), "candidate_texts")
+    left, right = (candidates.select(F.col("_id").alias(i), F.col("_text").alias(t)) for i, t in (("a", "x"), ("b", "y")))
+    found = compared(stars, left, right, lambda t: shingles(t, rules.words)[0])
+    links = saved(found.filter(similar(rules)).select("a", "b"), "links")
     groups = saved(components(links), "groups")
-
-    # Within a bucket, what is not in its largest group meets all the others.
-    placed = entries.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(
-        F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    mixed_up = saved(placed.join(largest.select("bucket", F.col("top.root").alias("top")), "bucket"), "mixed_buckets")
-    rest = mixed_up.filter("root != top").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    pairs = rest.join(mixed_up.select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"), "top"), "bucket")
-    pairs = pairs.filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))))
-    tried = stars.select("a", "b").unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = saved(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest_pairs")
-    more = saved(verified(pairs, rows, rules), "more_links")
+    more = saved(rest_links(stars, groups, rows, rules), "more_links")
 
     # A row id that is repeated with other texts ties these texts together.
     named = sig.join(texts.select("digest", "id"), "digest").select("_id", "id")
@@ -215,6 +282,14 @@ def near_classes(docs: DataFrame, rules: NearRules = NearRules(), text: str = "t
     return out.groupBy("_id").agg(F.min("class").alias("class"))
 
 
+def first_of_classes(docs: DataFrame, rules: NearRules = NearRules(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """`docs` with one row of each group: the one of least id, of rows that repeat it any."""
+    first = near_classes(docs, rules, text, doc_id).filter("_id = class").select(F.col("_id").alias("_row_id"))
+    rows = docs.select(row_id(text, doc_id).alias("_row_id"), F.struct(*docs.columns).alias("_row"))
+    kept = rows.join(first, "_row_id", "left_semi").groupBy("_row_id").agg(F.first("_row").alias("_row"))
+    return kept.select("_row.*")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its id and that of its class, the smallest doc_id in it."""
     classes = near_classes(read(spark, sf_dir, "documents"))

@@ -229,6 +229,11 @@ def queries_sql() -> dict[str, str]:
               speed, xway, lane, dir, seg, pos, simulated_time, 0, 0, 0, 0, 0, 0) as value
             from reports""", "reports"),
         "union_sources": sql(f"select {REPORT_COLS} from reports", "reports"),
+        "account_requests": sql(f"""
+            select {REPORT_COLS}, vid * 10 + lane as qid, seg as sinit, (seg + 3) % 10 as send,
+              vid % 7 + 1 as dow, {_MINUTE} as tod, vid % 69 + 1 as day,
+              1700000000000 + cast(simulated_time as bigint) * 1000 as wall_ms
+            from reports where type = 2""", "reports"),
         "one_per_second": sql(f"select {REPORT_COLS} from reports", "reports"),
         "write_by_block": sql(f"""
             select {REPORT_COLS}, cast((xway + floor(seg / 4)) % 8 as int) as block
@@ -374,6 +379,7 @@ def queries_sql() -> dict[str, str]:
     # Streams end in the same results.
     out["s_file_source"] = out["union_sources"]
     out["s_new_vehicles"] = out["new_vehicles"]
+    out["s_new_vehicles_ttl"] = out["new_vehicles_ttl"]
     out["s_accidents"] = out["accident_signals"]
     out["s_notifications"] = out["notifications"]
     out["s_replay"] = sql("""

@@ -18,7 +18,7 @@ from gantry.operators.asof import asof_join
 from gantry.operators.joins import state_upsert
 from gantry.plans.notify import Pipeline
 from gantry.rules import SegmentRules
-from gantry.schema import REPORT_FIELDS
+from gantry.schema import ACCOUNT_BALANCE, REPORT_FIELDS
 from gantry.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,16 @@ def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.to_wire(IO.reports_from_star(spark, sf_dir), WALL_BASE_MS)
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account requests with their own fields, sent and parsed among all reports."""
+    sent = IO.reports_from_star(spark, sf_dir).withColumns({
+        "qid": F.col("vid") * 10 + F.col("lane"), "sinit": F.col("seg"), "send": (F.col("seg") + 3) % 10,
+        "dow": F.col("vid") % 7 + 1, "tod": G.minute_of("simulated_time"), "day": F.col("vid") % 69 + 1,
+    })
+    lines = IO.tap(IO.to_wire(sent, WALL_BASE_MS), scratch_dir(spark, "requests"), "text")
+    return P.of_type(IO.parse_wire(lines, requests=True), ACCOUNT_BALANCE)
+
+
 def _damaged_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire text in which the requests' speed is not a number."""
     broken = F.regexp_replace("value", "^(2,[^,]*,[^,]*,)", "$1x")
@@ -163,6 +173,7 @@ def batch_queries() -> dict[str, Query]:
 
     return {
         "read_raw": _read_raw,
+        "account_requests": _requests,
         "parse_wire": lambda s, d: IO.parse_wire(_damaged_wire(s, d)),
         "quarantine": lambda s, d: IO.quarantine(_damaged_wire(s, d)),
         "to_wire": _wire,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gantry import sources as IO
 from gantry.plans.queries import WALL_BASE_MS, Query
+from gantry.rules import SegmentRules
 from gantry.schema import REPORT_FIELDS
 from gantry.session import scratch_dir
 from gantry.streaming import processors as PR
@@ -18,6 +19,8 @@ from gantry.streaming import stages as SG
 
 # Time slices of the replay; the first and the last are open.
 EDGES = [None, 2400, 4800, None]
+# Seconds of silence after which a vehicle is new again, in the query that has such a limit.
+TTL = 600
 
 SIGNAL_COLS = f"{PR.SIGNALS}, source int"
 MINUTE_COLS = "xway int, seg int, a double, n bigint, minute int"
@@ -167,6 +170,15 @@ def _new_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entry_rows(replay(spark, sf_dir).events)
 
 
+def _new_vehicles_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries where a vehicle silent for ten minutes is new again, and forgotten until then."""
+    r = replay(spark, sf_dir)
+    root = scratch_dir(spark, "ttl")
+    events = SG.vehicle_events(r.report_stream(), SegmentRules(vehicle_ttl=TTL))
+    SK.finish(SK.to_files(events, f"{root}/events", f"{root}/checkpoint"))
+    return _entry_rows(spark.read.schema(PR.EVENTS).parquet(f"{root}/events"))
+
+
 def _accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = replay(spark, sf_dir).signals.filter("is_new is not null")
     return signals.select("xway", "seg", "t", "is_new").distinct()
@@ -285,6 +297,7 @@ def stream_queries() -> dict[str, Query]:
         "s_minute_stats": _minute_stats,
         "s_segment_stats": _segment_stats,
         "s_new_vehicles": _new_vehicles,
+        "s_new_vehicles_ttl": _new_vehicles_ttl,
         "s_accidents": _accidents,
         "s_notifications": _notifications,
         "s_late": _late,

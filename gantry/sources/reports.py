@@ -80,17 +80,23 @@ def _parsed(lines: DataFrame) -> DataFrame:
         F.get(parts, F.lit(i)).try_cast("long" if f == "wall_ms" else "int").alias(f)
         for i, f in enumerate(S.WIRE_FIELDS[:10])
     ]
+    more = [
+        F.coalesce(F.trim(F.get(parts, F.lit(10 + i))).try_cast("int"), F.lit(0)).alias(f)
+        for i, f in enumerate(S.REQUEST_FIELDS)
+    ]
     all_numbers = reduce(Column.__and__, [F.col(f).isNotNull() for f in S.WIRE_FIELDS[:10]])
     return (
         lines.filter(text != "")
-        .select("value", text.rlike(_LINE).alias("shaped"), *fields)
+        .select("value", text.rlike(_LINE).alias("shaped"), *fields, *more)
         .withColumn("ok", F.col("shaped") & all_numbers)
     )
 
 
-def parse_wire(lines: DataFrame) -> DataFrame:
-    """Reports of the readable lines; the others are what `quarantine` returns."""
-    return _parsed(lines).filter("ok").select(*S.REPORT_FIELDS, "wall_ms")
+def parse_wire(lines: DataFrame, requests: bool = False) -> DataFrame:
+    """Reports of the readable lines, with the fields of requests if asked for (0 where they are
+    missing); the other lines are what `quarantine` returns."""
+    more = S.REQUEST_FIELDS if requests else []
+    return _parsed(lines).filter("ok").select(*S.REPORT_FIELDS, *more, "wall_ms")
 
 
 def quarantine(lines: DataFrame) -> DataFrame:

@@ -87,7 +87,9 @@ class InOrder(StatefulProcessor):
 class VehicleTracker(StatefulProcessor):
     """Per vehicle: entries into segments, and stops as they begin and end.
 
-    Takes reports up to a time before which none is missing; the next batch goes on from there.
+    Takes reports up to a time before which none is missing; the next batch goes on from there. With
+    a TTL, segments in which the vehicle has been silent for longer leave the state: it would be new
+    there anyway. What stays is one row per vehicle, its last report.
     """
 
     def __init__(self, rules: SegmentRules):
@@ -96,6 +98,7 @@ class VehicleTracker(StatefulProcessor):
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.trace = handle.getValueState(
             "trace", "t int, xway int, dir int, seg int, pos int, n int, lane int, t0 int"
         )
@@ -131,6 +134,26 @@ class VehicleTracker(StatefulProcessor):
             last = (r.t, r.xway, r.dir, r.seg, r.pos, n, lane, t0)
         if last:
             self.trace.update(last)
+            if self.rules.vehicle_ttl is not None and self.seen.exists():
+                self._wake(last[0], timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        gone, oldest = [], None
+        for segment, (t,) in self.seen.iterator():
+            if _ms(t + self.rules.vehicle_ttl) < now:
+                gone.append(segment)
+            else:
+                oldest = t if oldest is None else min(t, oldest)
+        for segment in gone:
+            self.seen.removeKey(segment)
+        if oldest is not None:
+            self._wake(oldest, now)
+        return iter(())
+
+    def _wake(self, t: int, watermark: int) -> None:
+        """Look again once reports of second t are older than the TTL."""
+        self.handle.registerTimer(max(_ms(t + self.rules.vehicle_ttl), watermark) + 1)
 
     def close(self) -> None:
         pass

@@ -55,7 +55,8 @@ def vehicle_events(
             F.when(nobody, F.array(closed)).otherwise(_one_per_second(F.col("reports")))))
     )
     return complete.groupBy("vid").transformWithState(
-        PR.VehicleTracker(rules), PR.EVENTS, "append", "none"
+        PR.VehicleTracker(rules), PR.EVENTS, "append",
+        "none" if rules.vehicle_ttl is None else "eventTime",
     )
 
 

@@ -128,6 +128,26 @@ def test_two_reports_in_a_second(spark):
     assert rows(events, "vid", "t", "seg") == kept
 
 
+def test_silent_vehicles_leave_the_state(spark):
+    """With a TTL, the store holds the segments of the last minutes only, and entries are the same."""
+    reports = [dict(REPORT, vid=v, simulated_time=60 * k + v, seg=k if v < 3 else k % 2, pos=200 * k)
+               for v in range(5) for k in range(40)]
+    rules, root = SegmentRules(vehicle_ttl=150), scratch_dir(spark, "ttl")
+    SO.append_slice(table(spark, [r for r in reports if r["simulated_time"] < 1200]), f"{root}/feed")
+    SO.append_slice(table(spark, [r for r in reports if r["simulated_time"] >= 1200]), f"{root}/feed")
+    stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1))
+    SK.finish(SK.to_files(SG.vehicle_events(stream, rules), f"{root}/out", f"{root}/checkpoint"))
+    events = spark.read.schema(PR.EVENTS).parquet(f"{root}/out")
+    reach = events.agg(F.max("t")).first()[0]
+    want = [r for r in model.entries(reports, rules) if r["simulated_time"] <= reach]
+    assert rows(events.filter(f"kind = {PR.ENTRY}"), "t", "vid", "seg") == sorted(
+        (r["simulated_time"], r["vid"], r["seg"]) for r in want)
+    store = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "seen")
+    held = store.load(f"{root}/checkpoint").select("key.vid", "user_map_value.t").collect()
+    assert held and all(r.t + 150 >= reach - 120 for r in held)
+    assert len(held) < 5 * 8
+
+
 def test_disorder_within_the_delay(spark):
     """Reports up to a minute late arrive after newer ones and still count in their place."""
     reports, rules = traffic(9, vehicles=6), SegmentRules(entry_mode="crossing")

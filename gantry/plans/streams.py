@@ -99,13 +99,16 @@ class Replay:
         return self.table("notices", NOTICE_COLS).filter("vid >= 0")
 
 
-@lru_cache(maxsize=None)
-def _replay(application: str, spark: SparkSession, sf_dir: str) -> Replay:
+@lru_cache(maxsize=8)
+def _replay(application: str, spark: SparkSession, sf_dir: str, state: str) -> Replay:
     return Replay(spark, sf_dir)
 
 
 def replay(spark: SparkSession, sf_dir: str) -> Replay:
-    return _replay(spark.sparkContext.applicationId, spark, sf_dir)
+    """The queries of one application share a replay while the table's files stay as they are."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/lineitem.parquet")
+    state = files.agg(F.max("modificationTime"), F.sum("length"), F.count(F.lit(1))).first()
+    return _replay(spark.sparkContext.applicationId, spark, sf_dir, str(state))
 
 
 def _entry_rows(events: DataFrame) -> DataFrame:

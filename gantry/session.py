@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +27,14 @@ def get_session(app: str = "gantry", master: str | None = None, **conf) -> Spark
     return b.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """A temporary folder of this process, removed when it ends."""
+    base = tempfile.mkdtemp(prefix="gantry-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
@@ -35,5 +46,5 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="gantry-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm.common import read
-from gantry.llm.near_dedup import mixed
+from gantry.llm.near_dedup import KNOWN_WORDS, mixed
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,7 +61,7 @@ class _Words(dict):
     """Hashes of words as compared, 0 for those that do not count; remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         plain = word.decode().lower().strip(string.punctuation + "«»„“”‘’–—…¿¡")
         self[word] = h = xxhash.xxh3_64_intdigest(plain.encode()) | 1 if plain else 0

@@ -37,6 +37,8 @@ from gantry.llm.bloom import filter_bits, holds, positions, seen
 from gantry.llm.common import components, read, saved, whole_text
 
 NO_ID = 1 << 62
+#: Words whose hashes a Python worker remembers, about 40 MB.
+KNOWN_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -61,7 +61,6 @@ def encoder(rules: Packing):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        slow = Tokenizer.from_file(public_tokenizers.path(rules.tokenizer))
         with open(public_tokenizers.path(rules.ranks), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
@@ -70,7 +69,8 @@ def encoder(rules: Packing):
         def encode(text: str) -> list[int]:
             try:
                 return fast.encode(text, allowed_special="all")
-            except ValueError:
+            except ValueError:  # so rare that the tokenizer is read anew each time
+                slow = Tokenizer.from_file(public_tokenizers.path(rules.tokenizer))
                 return slow.encode(text, add_special_tokens=False).ids
 
         _ENCODERS[rules] = encode

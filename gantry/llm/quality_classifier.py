@@ -144,9 +144,9 @@ def trained(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = Classif
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(doc_id).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64(doc_id), doc_id).limit(rules.max_rows)
-    # Bounded by max_rows.
-    rows = docs.select(doc_id, F.col(text).alias("_text")).join(F.broadcast(known), doc_id).select(
-        F.col(doc_id).alias("_id"), "_label", "_text")
+    # Bounded by max_rows; of documents that repeat an id one is taken.
+    rows = docs.select(doc_id, F.col(text).alias("_text")).join(F.broadcast(known), doc_id)
+    rows = rows.groupBy(F.col(doc_id).alias("_id"), "_label").agg(F.first("_text").alias("_text"))
 
     def extract(batches):
         for frame in batches:
@@ -154,7 +154,6 @@ def trained(docs: DataFrame, labels: DataFrame, rules: ClassifierRules = Classif
                                 "at": [features(t, rules) for t in frame["_text"]]})
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("_id")
         drawn = mixed(frame["_id"].to_numpy().astype(np.uint64))
         frame = frame.iloc[np.argsort(drawn, kind="stable")]
         m = fit(list(frame["at"]), frame["_label"].to_numpy(), rules)

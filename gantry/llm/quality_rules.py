@@ -3,7 +3,8 @@
 A document is compared with a reference of its language by the Jensen-Shannon distance (square
 root of the divergence in bits, 0 to 1) of two histograms: the classes of its characters, and the
 common words of its language. Short texts have ragged histograms, so each comparison has a least
-length below which it does not reject.
+length below which it does not reject, and the divergence of the words may exceed its limit by what
+drawing so few words from the reference gives on average (see word_noise()).
 
 Everything is a DataFrame expression; the only shuffle sums the histograms by language.
 
@@ -15,6 +16,7 @@ other columns are passed on, and a column named as one of the results is replace
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,8 +46,8 @@ class QualityRules:
     min_words: int = 10
     max_repeat_percent: int = 20
     gram: int = 5
-    #: largest distances, and the least lengths from which they reject; the ragged histogram of n
-    #: words may lie word_noise / sqrt(n) farther off
+    #: largest distances, and the least lengths from which they reject; word_noise is the multiple of the
+    #: expected sampling noise by which the square of the word distance may exceed that of its limit
     max_char_distance: float = 0.25
     min_chars: int = 150
     max_word_distance: float = 0.24
@@ -150,6 +152,32 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x) / 2))
 
 
+def _bin_noise(mean: float) -> float:
+    """Expected divergence, times the number of words, of a bin whose count is Poisson with this mean."""
+    spread = 10 * math.sqrt(mean) + 10
+    total = 0.0
+    for k in range(max(0, int(mean - spread)), int(mean + spread) + 1):
+        p = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        total += p * ((k * math.log2(2 * k / (k + mean)) if k else 0.0) + mean * math.log2(2 * mean / (k + mean)))
+    return total / 2
+
+
+#: _bin_noise() of the means 2 ** (i / 4) for i from NOISE_LOW on; about the mean before, 1 / (8 ln 2) after.
+NOISE_LOW, NOISE_HIGH = -32, 32
+BIN_NOISE = [_bin_noise(2 ** (i / 4)) for i in range(NOISE_LOW, NOISE_HIGH + 1)]
+
+
+def word_noise(reference: Column, n: Column) -> Column:
+    """n times the divergence that n words drawn from the reference itself have from it on average."""
+    table = F.lit(BIN_NOISE)
+
+    def of(q: Column) -> Column:
+        at = F.round(F.least(4 * F.log2(n * q), F.lit(NOISE_HIGH))).cast("int") - NOISE_LOW + 1
+        return F.when(n * q <= 2 ** (NOISE_LOW / 4), n * q).otherwise((1 - q) * table[F.greatest(at, F.lit(1)) - 1])
+
+    return F.aggregate(reference, F.lit(0.0), lambda acc, q: acc + of(q))
+
+
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(language, chars, common): shares over all documents of each listed language, and of all under ''.
 
@@ -197,8 +225,10 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: Dat
     })
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+    beyond = F.col("n_words") * (F.col("word_distance") * F.col("word_distance") - rules.max_word_distance**2)
     odd = ((F.col("char_distance") > rules.max_char_distance) & (F.length("_t") >= rules.min_chars)) | (
-        (F.col("word_distance") > rules.max_word_distance + rules.word_noise / F.sqrt("n_words"))
+        (F.col("word_distance") > rules.max_word_distance)
+        & (beyond > rules.word_noise * word_noise(F.col("_ref_common"), F.col("n_words")))
         & (F.col("n_words") >= rules.min_common_words))
     return own.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop(

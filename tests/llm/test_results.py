@@ -226,6 +226,45 @@ def test_quality_rules(spark, rows):
     assert both.kept[both.quality == 1].mean() > 0.97
 
 
+def test_rejected_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    judged = quality_rules.judge(read(spark, sf, "documents")).select("doc_id", "base_failed", "kept").toPandas()
+    both = judged.merge(read(spark, sf, "labels").toPandas(), on="doc_id")
+    both = both[~both.base_failed]
+    assert both.kept[both.quality == 0].mean() < 0.13
+    assert both.kept[both.quality == 1].mean() > 0.99
+
+
+def test_word_limit(spark):
+    """Texts drawn from the reference stay at every length; texts with a third of its common words do not."""
+    draw = np.random.default_rng(4)
+    known = quality_rules.LISTS["en"]
+
+    def text(n, share):
+        return " ".join(str(draw.choice(known)) if x < share else f"own{draw.integers(10**6)}" for x in draw.random(n))
+
+    rows = [(i, text((60, 110, 200, 300)[i % 4], 0.6), "en") for i in range(400)]
+    rows += [(1000 + i, text((110, 200, 300)[i % 3], 0.2), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.language_references(docs.filter("doc_id < 1000")).localCheckpoint()
+    # The characters of such texts are not what is tried.
+    got = quality_rules.judge(docs, quality_rules.QualityRules(max_char_distance=1.0), refs).select("doc_id", "kept").toPandas()
+    assert got.kept[got.doc_id < 1000].mean() > 0.99
+    assert got.kept[got.doc_id >= 1000].mean() < 0.1
+
+
+def test_word_noise(spark):
+    from pyspark.sql import functions as F
+    draw = np.random.default_rng(2)
+    q = np.array([0.3, 0.1, *[0.03] * 8, *[0.002] * 30, 0.3])
+    for n in (60, 1000):
+        p = draw.multinomial(n, q, 2000) / n
+        m = (p + q) / 2
+        found = (np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / m), 0) + q * np.log2(q / m)).sum(axis=1).mean() / 2 * n
+        told = spark.range(1).select(quality_rules.word_noise(F.array(*map(F.lit, q.tolist())), F.lit(n)).alias("x")).first().x
+        assert abs(told / found - 1) < 0.1
+
+
 def test_distance(spark):
     from pyspark.sql import functions as F
     p, q = [0.5, 0.5, 0.0], [0.1, 0.2, 0.7]

@@ -7,15 +7,16 @@ is a further span, of kind `random`.
 
 The labelled samples come from the documents: values that the patterns find are random (1), words
 elsewhere are ordinary (0); digests of these words, as hexadecimal, base 64 and capitals, stand for
-the kinds of keys that no pattern knows. At most `max_samples` words and values are taken, those of
-least hash.
+the kinds of keys that no pattern knows. All distinct words and values are taken, or the `max_samples`
+of least hash where there are more.
 
 Everything is a DataFrame expression. Only the models' counts of character pairs, a number fixed by
 the alphabet, reach the driver.
 
 Defined results: a null or empty text has no spans; rows are judged one by one, so repeated rows get
 the same spans; an empty table gives an empty result; other columns are passed on, columns named as
-a result are replaced. Positions count code points.
+a result are replaced. Positions count code points. A class without samples has a uniform model: without
+words of 8 letters the ordinary one; without values, too, both are, and no random string is found.
 """
 
 from __future__ import annotations
@@ -108,7 +109,11 @@ def samples(docs: DataFrame, rules: SecretRules = SecretRules(), text: str = "te
     rows = docs.select(whole_text(text).alias("t"))
 
     def some(values: DataFrame) -> DataFrame:
-        # Copies of a value count once; the ones of least hash are as good as drawn.
+        # Copies of a value count once; the ones of least hash are as good as drawn. Of many values only twice as
+        # many as are wanted, by estimate, are shuffled; the least ones are among them.
+        n = values.agg(F.approx_count_distinct("value", 0.02)).first()[0]
+        if n > 2 * rules.max_samples:
+            values = values.filter(F.xxhash64("value") < -(1 << 63) + (2 * rules.max_samples << 64) // n)
         return values.distinct().orderBy(F.xxhash64("value"), "value").limit(rules.max_samples)
 
     values = rows.select(F.explode(F.concat(
@@ -118,7 +123,7 @@ def samples(docs: DataFrame, rules: SecretRules = SecretRules(), text: str = "te
             F.array().cast("array<string>")),
         F.when(F.col("t").rlike(HEX), F.regexp_extract_all("t", F.lit(HEX), F.lit(0))).otherwise(
             F.array().cast("array<string>")))).alias("value")).filter(F.length("value") >= rules.min_value)
-    plain = F.filter(F.split("t", "[^A-Za-z_-]+"), lambda w: (F.length(w) >= 8) & (F.pmod(F.xxhash64(w), F.lit(64)) == 0))
+    plain = F.array_distinct(F.filter(F.split("t", "[^A-Za-z_-]+"), lambda w: F.length(w) >= 8))
     words = some(rows.select(F.explode(plain).alias("value")))
     # Ordinary identifiers are also put together from words.
     joined = words.select(F.explode(F.array(

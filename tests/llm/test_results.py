@@ -1,5 +1,7 @@
 """Registered queries against SQL or a plain version, over whole small tables."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -59,6 +61,24 @@ def test_random_strings(spark):
     assert told == set(keys)
 
 
+def test_samples_of_small_tables(spark):
+    """Every long word of a small table is a sample, and random strings are told apart with these."""
+    from pyspark.sql import functions as F
+    docs = read(spark, SF, "documents").filter("doc_id < 20")
+    found = [x for r in docs.collect() for x in re.split("[^A-Za-z_-]+", r.text or "") if len(x) >= 8]
+    samples = secrets.samples(docs)
+    assert set(found) <= {r.value for r in samples.filter("label = 0").collect()}
+    assert samples.filter("label = 1").count() >= 3 * len(set(found))
+    one = spark.createDataFrame([("an understandable sentence, containing considerably ordinary vocabulary: "
+                                  "documentation, international, development, kJ8fQz2LmP0vXt7RbN4wYc9D",)], "text string")
+    assert [r.text[x.start:x.stop] for r in secrets.find_secrets(one, secrets.ratios(samples)).collect() for x in r.added] == ["kJ8fQz2LmP0vXt7RbN4wYc9D"]
+    some = secrets.samples(docs, secrets.SecretRules(max_samples=200)).filter("label = 0").collect()
+    words = spark.createDataFrame([(x,) for x in sorted(set(found))], "w string")
+    assert {r.w for r in words.orderBy(F.xxhash64("w"), "w").limit(200).collect()} <= {r.value for r in some} and len(some) == 600
+    few = secrets.samples(one, secrets.SecretRules(max_samples=3))
+    assert few.filter("label = 0").count() == 9
+
+
 def test_near_dedup(spark, rows):
     got = {r.doc_id: r.class_id for r in QUERIES["op3_near_dedup"](spark, SF).collect()}
     assert got == near_classes(rows)

@@ -63,10 +63,11 @@ def covered(intervals: DataFrame, by: list[str], depth: int, chunk: int = 1800)
     w = W.partitionBy(*by).orderBy("t")
     within = W.partitionBy(*by, "piece").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*by).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    # Dealt out by piece once: the sums per second, the sums so far and those per piece stay there.
     changes = (
         intervals.select(*by, F.inline(edges)).filter(F.col("t").isNotNull())
-        .groupBy(*by, F.floor(F.col("t") / chunk).alias("piece"), "t").agg(F.sum("d").alias("d"))
-        .filter(F.col("d") != 0)
+        .withColumn("piece", F.floor(F.col("t") / chunk)).repartition(*by, "piece")
+        .groupBy(*by, "piece", "t").agg(F.sum("d").alias("d")).filter(F.col("d") != 0)
     )
     carried = changes.groupBy(*by, "piece").agg(F.sum("d").alias("d")).select(
         *by, "piece", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("was"))

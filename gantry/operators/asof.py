@@ -15,6 +15,7 @@ def asof_join(
     values: list[str],
     allow_exact: bool = True,
     chunk: int = 1800,
+    grain: int = 1,
 ) -> DataFrame:
     """`left` with the `values` of the `right` row with equal `by` and the greatest `on` not after
     (or, without `allow_exact`, before) its own; null if there is none. `right` has one row per
@@ -23,7 +24,18 @@ def asof_join(
     The merge runs over the distinct times of a group within pieces of `chunk`; what is last in a
     piece is carried on over a table with a row per piece. The rows then look their time up with an
     equi join.
+
+    Where all times of `right` are multiples of `grain`, as tolls hold from full minutes on, the rows
+    of `left` within one such span share a lookup.
     """
+    if grain > 1:
+        if not allow_exact:
+            raise ValueError("a grain needs exact matches")
+        span = "_span"
+        spans = left.withColumn(span, (F.floor(F.col(on) / grain) * grain).cast(left.schema[on].dataType))
+        found = asof_join(
+            spans.select(*by, span).distinct(), right.withColumnRenamed(on, span), by, span, values, chunk=chunk)
+        return spans.join(found, [*by, span], "left").select(*left.columns, *values)
     taken = F.struct(*[F.col(v) for v in values]).alias("_v")
     piece = F.floor(F.col(on) / chunk).alias("_piece")
     none = F.lit(None).cast(right.select(taken).schema["_v"].dataType)

@@ -7,12 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry import functions as G
+from gantry.operators.trace import CHUNK
 from gantry.rules import DEFAULT_RULES, SegmentRules
 
 # Digits kept of an average velocity, so that the order of a sum never moves it across a threshold.
 LAV_DIGITS = 9
 
 
+def _vehicle_minutes(positions: DataFrame, keys: list[str]) -> DataFrame:
+    t, speed = F.col("simulated_time"), F.col("speed")
+    first = F.min_by(speed, t)
+    return (
+        positions.groupBy(*keys, "vid")
+        .agg(first.alias("s1"), F.sum(speed).alias("total"), F.count("*").alias("n"))
+        .withColumn("v", F.col("s1") + (F.col("total") - F.col("n") * F.col("s1")) / 2)
+    )
+
+
 def _salted_vehicle_minutes(positions: DataFrame, rules: SegmentRules) -> DataFrame:
     """One row per vehicle, segment and minute.
 
@@ -21,18 +32,11 @@ def _salted_vehicle_minutes(positions: DataFrame, rules: SegmentRules) -> DataFr
     vehicles start where the rows already are.
     """
     keys = [*rules.segment_cols, "minute", "salt"]
-    t, speed = F.col("simulated_time"), F.col("speed")
-    first = F.min_by(speed, t)
-    return (
-        positions.select(
-            *rules.segment_cols, G.minute_of("simulated_time").alias("minute"),
-            G.salt_of(rules.vehicle_salts, "vid").alias("salt"), "vid", "simulated_time", "speed",
-        )
-        .repartition(*keys)
-        .groupBy(*keys, "vid")
-        .agg(first.alias("s1"), F.sum(speed).alias("total"), F.count("*").alias("n"))
-        .withColumn("v", F.col("s1") + (F.col("total") - F.col("n") * F.col("s1")) / 2)
+    salted = positions.select(
+        *rules.segment_cols, G.minute_of("simulated_time").alias("minute"),
+        G.salt_of(rules.vehicle_salts, "vid").alias("salt"), "vid", "simulated_time", "speed",
     )
+    return _vehicle_minutes(salted.repartition(*keys), keys)
 
 
 def vehicle_minute_speed(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
@@ -46,9 +50,19 @@ def vehicle_minute_speed(positions: DataFrame, rules: SegmentRules = DEFAULT_RUL
 def segment_minutes(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
     """Mean vehicle speed `a` and vehicle count `n` per segment and minute.
 
-    Comes out partitioned by segment, as the windows over a segment's minutes need it.
+    Comes out partitioned by segment, as the windows over a segment's minutes need it. Positions that
+    are dealt out by vehicle and time already have each vehicle's minute in one place, and only sums
+    are shuffled.
     """
     seg = rules.segment_cols
+    if CHUNK in positions.columns and rules.chunk_seconds % 60 == 0:
+        minute = G.minute_of("simulated_time").alias("minute")
+        each = _vehicle_minutes(positions.select("vid", CHUNK, *seg, minute, "simulated_time", "speed"), [CHUNK, *seg, "minute"])
+        # Partial sums are formed where the vehicles are, so a busy minute is a few rows per task.
+        return (
+            each.groupBy(*seg, "minute").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+            .select(*seg, "minute", (F.col("v") / F.col("n")).alias("a"), "n")
+        )
     return (
         _salted_vehicle_minutes(positions, rules)
         .groupBy(*seg, "minute", "salt")

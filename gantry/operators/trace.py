@@ -17,6 +17,38 @@ from gantry import functions as G
 from gantry.rules import DEFAULT_RULES, SegmentRules
 
 
+# Column of `dealt_out` rows: the piece of time by which, with the vehicle, they are partitioned.
+CHUNK = "_chunk"
+PACKED = ["speed", "xway", "lane", "dir", "seg", "pos", "wall_ms"]
+
+
+def dealt_out(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
+    """The positions partitioned by vehicle and piece of time, for several stages that start from them.
+
+    Statistics, entries and runs group by more than these two, so none of them shuffles whole reports
+    again. The other columns travel in one array: stages that read different columns then ask for
+    the very same exchange, which Spark makes once. Fields are marked as never null, or else a filter
+    that one stage's joins ask for would make its exchange another one; so rows that lack one, which
+    the parsers never let through, are left out.
+    """
+    packed = [c for c in PACKED if c in positions.columns]
+    kinds = {f.name: f.dataType for f in positions.schema}
+    sure = [c for c in packed if c != "wall_ms"]
+    fields = F.array(*[F.col(c).cast("long") for c in packed]).alias("_fields")
+
+    def field(c: str) -> Column:
+        value = F.col("_fields")[packed.index(c)].cast(kinds[c])
+        return (F.coalesce(value, F.lit(0).cast(kinds[c])) if c in sure else value).alias(c)
+
+    key = ["vid", "simulated_time"]
+    return (
+        positions.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*key, *sure)]))
+        .select(*key, G.chunk_of("simulated_time", rules.chunk_seconds).alias(CHUNK), fields)
+        .repartition("vid", CHUNK)
+        .select(*key, CHUNK, *map(field, packed))
+    )
+
+
 def runs(
     positions: DataFrame,
     trace: list[str],
@@ -55,8 +87,10 @@ def _pieces(positions, trace, same, rules, first_of, min_reports, marked, max_ga
     w = W.partitionBy(*trace, "chunk").orderBy(t)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
+    dealt = CHUNK in positions.columns
+    chunk = F.col(CHUNK) if dealt else G.chunk_of(t, rules.chunk_seconds)
     starts = (
-        positions.select(*needed, G.chunk_of(t, rules.chunk_seconds).alias("chunk"))
+        positions.select(*needed, chunk.alias("chunk"))
         .select(
             "*",
             _follows(w, same, t, t, max_gap).alias("follows"),

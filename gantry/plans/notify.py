@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from gantry.operators.entries import entries
 from gantry.operators.joins import salted_join
 from gantry.operators.positions import positions
 from gantry.operators.stats import segment_stats, segment_toll
+from gantry.operators.trace import dealt_out
 from gantry.rules import DEFAULT_RULES, SegmentRules
 from gantry.sources.sinks import tap
 
@@ -43,19 +44,25 @@ def minute_state(
     ends = F.col("t1").isNotNull()
     first = G.minute_of("t0")
     lasts = F.when(ends, F.sequence(first, G.minute_of("t1"))).otherwise(F.array(first))
-    by_minute = (
-        scope.withColumn("minute", F.explode(lasts))
-        .groupBy(*seg, "minute")
-        .agg(F.collect_set(F.when(ends, F.struct("t0", "t1"))).alias("scopes"),
-             F.min(F.when(~ends, F.col("t0"))).alias("open_from"))
-    )
+    none = F.lit(None)
+    known = tolls.select(
+        *seg, "minute", F.struct("lav", "nov", "toll").alias("toll"), none.cast("struct<t0:int,t1:int>").alias("scope"),
+        none.cast("int").alias("open_from"))
+    ahead = scope.withColumn("minute", F.explode(lasts)).select(
+        *seg, "minute", none.cast(known.schema["toll"].dataType).alias("toll"),
+        F.when(ends, F.struct("t0", "t1")).alias("scope"), F.when(~ends, F.col("t0")).alias("open_from"))
     so_far = (
         W.partitionBy(*seg).orderBy("minute").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
+    # One exchange by segment serves the minutes and the run through them; both sides are small.
     return (
-        tolls.join(by_minute, [*seg, "minute"], "full_outer")
+        known.unionByName(ahead).repartition(*seg)
+        .groupBy(*seg, "minute")
+        .agg(F.first("toll", ignorenulls=True).alias("toll"), F.collect_set("scope").alias("scopes"),
+             F.min("open_from").alias("open_from"))
         .withColumn("open_from", F.min("open_from").over(so_far))
         .filter(F.col("toll").isNotNull())
+        .select(*seg, "minute", "toll.*", "scopes", "open_from")
     )
 
 
@@ -135,10 +142,21 @@ class Pipeline:
     reports: DataFrame
     rules: SegmentRules = DEFAULT_RULES
     workdir: str | None = None
+    #: whether the positions are dealt out once for all stages; see dealt_out()
+    dealt: bool = False
 
     @property
     def positions(self) -> DataFrame:
-        return positions(self.reports)
+        found = positions(self.reports)
+        return dealt_out(found, self.rules) if self.dealt else found
+
+    @cached_property
+    def _all_stages(self) -> Pipeline:
+        """This pipeline with the reports read and shuffled once for statistics, stops and entries."""
+        shared = replace(self, dealt=True)
+        if self.workdir:
+            shared.stops = self.stops
+        return shared
 
     @property
     def stats(self) -> DataFrame:
@@ -179,8 +197,8 @@ class Pipeline:
 
     @property
     def enriched(self) -> DataFrame:
-        state = minute_state(self.tolls, self.scope, self.rules)
-        return enriched_entries(self.entries, state, self.rules)
+        p = self._all_stages
+        return enriched_entries(p.entries, minute_state(p.tolls, p.scope, self.rules), self.rules)
 
     @property
     def toll_notifications(self) -> DataFrame:

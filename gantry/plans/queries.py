@@ -156,7 +156,7 @@ def _asof_toll(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pipeline(spark, sf_dir)
     tolls = p.tolls.withColumn("simulated_time", G.minute_start("minute"))
     pos = p.positions.select("vid", "simulated_time", "xway", "seg")
-    return asof_join(pos, tolls, ["xway", "seg"], "simulated_time", ["lav", "nov", "toll"]).select(
+    return asof_join(pos, tolls, ["xway", "seg"], "simulated_time", ["lav", "nov", "toll"], grain=60).select(
         "vid", "simulated_time", "xway", "seg", "lav", "nov", "toll"
     )
 

@@ -66,3 +66,22 @@ def test_new_vehicles_aggregate_without_sorting(spark):
 def test_involved_vehicles_are_broadcast_while_small(spark):
     text = plan(QUERIES["accident_resignals"](spark, SF))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("rules", [SegmentRules(), SegmentRules(entry_mode="crossing"), SegmentRules(direction_aware=True)])
+def test_all_stages_share_a_scan_and_a_shuffle(spark, tmp_path, rules):
+    path = str(tmp_path / "reports")
+    pipeline(spark, SF).reports.write.parquet(path)
+    df = Pipeline(spark.read.parquet(path), rules).notifications
+    df.collect()
+    text = plan(df).split("== Initial Plan ==")[0]
+    assert text.count("FileScan") == 1 and "EqualTo(type,0)" in text
+    dealt = re.findall(r"(?:(ReusedExchange)[^\n]*, )?Exchange hashpartitioning\(vid#\d+, _chunk#\d+", text)
+    assert len(dealt) == 3 and dealt.count("") == 1
+    # Further exchanges by vehicle carry first reports and runs at the edges of pieces only.
+    assert not re.search(r"Exchange hashpartitioning\(vid#\d+, chunk#", text)
+
+
+def test_tolls_are_looked_up_by_minute(spark):
+    text = plan(QUERIES["asof_toll"](spark, SF))
+    assert "_span" in text and not re.search(r"hashpartitioning\(xway#\d+, seg#\d+, simulated_time#", text)

@@ -42,17 +42,23 @@ class Replay:
     @cached_property
     def feed(self) -> str:
         path = f"{self.root}/feed"
-        SO.write_slices(self.reports, path, EDGES, wall_base_ms=WALL_BASE_MS)
-        SO.close_feed(self.spark, path, self.end)
+        SO.write_slices(self.reports, path, EDGES, self.files, WALL_BASE_MS)
+        SO.close_feed(self.spark, path, self.end, files=self.files)
         return path
 
+    @cached_property
+    def files(self) -> int:
+        """Files of each slice: at least one per core, and more where there are many rows."""
+        slices = len(EDGES) - 1
+        return SO.files_for(-(-self.reports.count() // slices), least=self.spark.sparkContext.defaultParallelism)
+
     @cached_property
     def end(self) -> int:
         """One past the last second with a report."""
         return (self.reports.agg(F.max("simulated_time")).first()[0] or 0) + 1
 
     def report_stream(self, path: str | None = None) -> DataFrame:
-        return SO.report_stream(SO.line_stream(self.spark, path or self.feed, 1))
+        return SO.report_stream(SO.line_stream(self.spark, path or self.feed, self.files))
 
     def run(self, df: DataFrame, name: str, fmt: str = "parquet"):
         return SK.finish(SK.to_files(
@@ -196,10 +202,9 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = replay(spark, sf_dir)
     root = scratch_dir(spark, "late")
     positions = F.col("type") == 0
-    SO.append_slice(r.reports.filter(positions), f"{root}/feed")
-    SO.append_slice(SO.heartbeats(spark, [r.end + 86400]), f"{root}/feed")
-    SO.append_slice(SO.heartbeats(spark, [r.end + 86400]), f"{root}/feed")
-    SO.append_slice(r.reports.filter(~positions), f"{root}/feed")
+    beat = SO.heartbeats(spark, [r.end + 86400])
+    for rows in (r.reports.filter(positions), beat, beat, r.reports.filter(~positions)):
+        SO.append_slice(rows, f"{root}/feed", r.files)
     stream = SO.in_event_time(r.report_stream(f"{root}/feed"), SG.DELAY)
     counts = (
         stream.groupBy(F.window("ts", "1 minute").alias("w"), "type")
@@ -219,10 +224,10 @@ def _restart(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = SG.vehicle_events(r.report_stream(f"{root}/feed"))
         SK.finish(SK.to_files(events, f"{root}/events", f"{root}/checkpoint"))
 
-    SO.write_slices(r.reports, f"{root}/feed", EDGES[:2])
+    SO.write_slices(r.reports, f"{root}/feed", EDGES[:2], r.files)
     go_on()
-    SO.write_slices(r.reports, f"{root}/feed", EDGES[1:])
-    SO.close_feed(spark, f"{root}/feed", r.end)
+    SO.write_slices(r.reports, f"{root}/feed", EDGES[1:], r.files)
+    SO.close_feed(spark, f"{root}/feed", r.end, files=r.files)
     go_on()
     events = spark.read.schema(PR.EVENTS).parquet(f"{root}/events")
     return events.filter(F.col("kind").isin(PR.ENTRY, PR.STOP)).select(
@@ -277,9 +282,9 @@ def _latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = replay(spark, sf_dir)
     root = scratch_dir(spark, "latency")
     for lo, hi in zip(EDGES, EDGES[1:]):
-        SO.write_slices(r.reports, f"{root}/feed", [lo, hi], wall_base_ms=None)
+        SO.write_slices(r.reports, f"{root}/feed", [lo, hi], r.files, wall_base_ms=None)
         if hi is None:
-            SO.close_feed(spark, f"{root}/feed", r.end)
+            SO.close_feed(spark, f"{root}/feed", r.end, files=r.files)
         events = SK.stamped(SG.vehicle_events(r.report_stream(f"{root}/feed")))
         SK.finish(SK.to_files(events, f"{root}/events", f"{root}/checkpoint"))
     took = F.col("emit_wall_ms") - F.col("wall_ms")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gantry.functions.time import BASE_EPOCH
 from gantry.rules import SegmentRules
-from gantry.streaming.source import NOWHERE
+from gantry.streaming.source import NOBODY, NOWHERE
 
 # Kinds of rows between the stages.
 ENTRY, STOP, MOVE, HEARTBEAT = 0, 1, 2, 3
@@ -23,6 +23,13 @@ EVENTS = (
     "kind int, vid int, t int, speed int, xway int, lane int, dir int, seg int, pos int, "
     "t0 int, wall_ms bigint"
 )
+EVENT = Row(*(c.split()[0] for c in EVENTS.split(", ")))
+# Fields of a report, of its place, and of the report that completes a stop, as windows tell them; a
+# record of a run has, besides these, its number in the window, its size and what follows it.
+REPORT = ["t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms"]
+PLACE = ["t", "xway", "dir", "seg", "pos", "wall_ms"]
+MARK = ["t", "speed", "lane", "wall_ms"]
+RUN = ["k", "n", "t_last", "t_next", "wall_next", *PLACE, *(f"mark_{c}" for c in MARK)]
 SIGNALS = "kind int, xway int, dir int, seg int, t int, is_new boolean"
 NOTICES = (
     "kind int, vid int, t int, lav int, toll bigint, seg int, pos int, report_wall_ms bigint"
@@ -33,6 +40,17 @@ def _ms(t: int) -> int:
     return (BASE_EPOCH + t) * 1000
 
 
+def _records(flat, names: list[str]) -> Iterator[dict]:
+    values = [int(x) for x in flat]
+    for i in range(0, len(values), len(names)):
+        yield dict(zip(names, values[i:i + len(names)]))
+
+
+def _known(wall_ms: int) -> int | None:
+    """The time a report was sent; -1 stands for none."""
+    return None if wall_ms < 0 else int(wall_ms)
+
+
 class InOrder(StatefulProcessor):
     """Keeps a key's rows until the watermark has passed them, then hands them on by time."""
 
@@ -87,7 +105,7 @@ class InOrder(StatefulProcessor):
 class VehicleTracker(StatefulProcessor):
     """Per vehicle: entries into segments, and stops as they begin and end.
 
-    Takes reports up to a time before which none is missing; the next batch goes on from there. With
+    Takes summaries of windows before which no report is missing; the next batch goes on from there. With
     a TTL, segments in which the vehicle has been silent for longer leave the state: it would be new
     there anyway. What stays is one row per vehicle, its last report.
     """
@@ -100,55 +118,79 @@ class VehicleTracker(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.trace = handle.getValueState(
-            "trace", "t int, xway int, dir int, seg int, pos int, n int, lane int, t0 int"
+            "trace", "t int, xway int, dir int, seg int, pos int, n int, lane int, t0 int, seen array<int>"
         )
-        self.seen = handle.getMapState("seen", "xway int, dir int, seg int", "t int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        vid = key[0]
-        out = Row("kind", "vid", "t", "speed", "xway", "lane", "dir", "seg", "pos", "t0", "wall_ms")
-        last = self.trace.get() if self.trace.exists() else None
-        for r in sorted(rows, key=attrgetter("t")):
-            if r.xway == NOWHERE:
-                yield out(HEARTBEAT, vid, r.t, 0, r.xway, 0, 0, r.seg, 0, None, r.wall_ms)
-                continue
-            segment = self._segment(r.xway, r.dir, r.seg)
-            before = self._segment(last[1], last[2], last[3]) if last else None
-            if self._enters(segment, before, last, r):
-                yield out(
-                    ENTRY, vid, r.t, r.speed, r.xway, r.lane, r.dir, r.seg, r.pos, None, r.wall_ms
-                )
-            n, lane, t0 = 1, None, None
-            if last and segment == before and r.pos == last[4]:
-                n, lane, t0 = last[5] + 1, last[6], last[7]
-            elif last and last[7] is not None:
-                yield out(
-                    MOVE, vid, r.t, 0, last[1], last[6], last[2], last[3], last[4], last[7],
-                    r.wall_ms,
-                )
-            if n == self.rules.stop_reports:
-                lane, t0 = r.lane, r.t
-                yield out(
-                    STOP, vid, r.t, r.speed, r.xway, lane, r.dir, r.seg, r.pos, t0, r.wall_ms
-                )
-            last = (r.t, r.xway, r.dir, r.seg, r.pos, n, lane, t0)
+        vid, windows = key[0], sorted(rows, key=attrgetter("t"))
+        if vid == NOBODY:
+            for w in windows:
+                yield EVENT(HEARTBEAT, vid, w.t, 0, NOWHERE, 0, 0, NOWHERE, 0, None, None)
+            return
+        *last, seen = self.trace.get() or (None, ())
+        last = last if seen else None
+        # One read and one write of the state a batch: each call to the store costs more than the rows.
+        self.seen = {(x, d, g): t for x, d, g, t in zip(*[iter(map(int, seen))] * 4)}
+        for w in windows:
+            yield from self._entries(vid, w.visits, last)
+            for run in _records(w.runs, RUN):
+                events, last = self._run(vid, run, w.heads, last)
+                yield from events
         if last:
-            self.trace.update(last)
-            if self.rules.vehicle_ttl is not None and self.seen.exists():
-                self._wake(last[0], timerValues.getCurrentWatermarkInMs())
+            self.seen[self._segment(*last[1:4])] = last[0]
+            self._keep(last)
+            if self.rules.vehicle_ttl is not None:
+                self._wake(min(self.seen.values()), timerValues.getCurrentWatermarkInMs())
+
+    def _keep(self, last) -> None:
+        self.trace.update((*last, [x for segment, t in self.seen.items() for x in (*segment, t)]))
+
+    def _entries(self, vid, visits, last) -> Iterator[Row]:
+        before, t_before = (self._segment(*last[1:4]), last[0]) if last else (None, None)
+        for v in _records(visits, [*REPORT, "t_last"]):
+            segment = self._segment(v["xway"], v["dir"], v["seg"])
+            if self._enters(segment, before, t_before, v["t"]):
+                yield EVENT(ENTRY, vid, *(v[c] for c in REPORT[:-1]), None, _known(v["wall_ms"]))
+            before, t_before = segment, v["t_last"]
+
+    def _run(self, vid, run: dict, heads, last) -> tuple[list[Row], tuple]:
+        """Events of a run, and the vehicle's trace after it."""
+        events, n, lane, t0 = [], 0, None, None
+        # Only a window's first run can go on from the window before.
+        if run["k"] == 0 and last:
+            place = (*self._segment(run["xway"], run["dir"], run["seg"]), run["pos"])
+            if place == (*self._segment(*last[1:4]), last[4]):
+                n, lane, t0 = last[5:8]
+            elif last[7] is not None:
+                events.append(self._moved(vid, last, run["t"], run["wall_ms"]))
+        need, total = self.rules.stop_reports, n + run["n"]
+        if n < need <= total:
+            at = (need - n - 1) * len(MARK)
+            t, speed, lane, wall = map(int, heads[at:at + len(MARK)] if n else [run[f"mark_{c}"] for c in MARK])
+            t0 = t
+            events.append(EVENT(
+                STOP, vid, t, speed, run["xway"], lane, run["dir"], run["seg"], run["pos"], t0, _known(wall)))
+        last = (run["t_last"], run["xway"], run["dir"], run["seg"], run["pos"], total, lane, t0)
+        if run["t_next"] >= 0 and t0 is not None:
+            events.append(self._moved(vid, last, run["t_next"], run["wall_next"]))
+        return events, last
+
+    @staticmethod
+    def _moved(vid, last, t, wall_ms) -> Row:
+        """The end of the stop that `last` tells of."""
+        return EVENT(MOVE, vid, t, 0, last[1], last[6], last[2], last[3], last[4], last[7], _known(wall_ms))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        gone, oldest = [], None
-        for segment, (t,) in self.seen.iterator():
-            if _ms(t + self.rules.vehicle_ttl) < now:
-                gone.append(segment)
-            else:
-                oldest = t if oldest is None else min(t, oldest)
-        for segment in gone:
-            self.seen.removeKey(segment)
-        if oldest is not None:
-            self._wake(oldest, now)
+        *last, seen = self.trace.get()
+        rows = list(zip(*[iter(map(int, seen))] * 4))
+        here = self._segment(*last[1:4])
+        self.seen = {tuple(s): t for *s, t in rows if _ms(t + self.rules.vehicle_ttl) >= now or tuple(s) == here}
+        if len(self.seen) < len(rows):
+            self._keep(last)
+        waiting = [t for segment, t in self.seen.items() if segment != here]
+        if waiting:
+            self._wake(min(waiting), now)
         return iter(())
 
     def _wake(self, t: int, watermark: int) -> None:
@@ -161,17 +203,16 @@ class VehicleTracker(StatefulProcessor):
     def _segment(self, xway, direction, seg):
         return (xway, direction if self.rules.direction_aware else 0, seg)
 
-    def _enters(self, segment, before, last, r) -> bool:
+    def _enters(self, segment, before, t_before, t) -> bool:
         if self.rules.entry_mode == "crossing":
             return segment != before
         ttl = self.rules.vehicle_ttl
         if segment == before:
-            return ttl is not None and r.t - last[0] > ttl
+            return ttl is not None and t - t_before > ttl
         if before:
-            self.seen.updateValue(before, (last[0],))
-        if not self.seen.containsKey(segment):
-            return True
-        return ttl is not None and r.t - self.seen.getValue(segment)[0] > ttl
+            self.seen[before] = t_before
+        known = self.seen.get(segment)
+        return known is None or (ttl is not None and t - known > ttl)
 
 
 class AccidentTracker(InOrder):

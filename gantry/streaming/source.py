@@ -71,7 +71,8 @@ def write_slices(
     wall_base_ms: int | None = 0,
 ) -> None:
     """Append the reports to a folder of wire text, one time slice after the other, so that a
-    stream with `files_per_slice` files per trigger gets them in time order at a fixed rate.
+    stream with `files_per_slice` files per trigger gets them in time order at a fixed rate. Each
+    slice is written by as many tasks; `files_for` tells how many its rows ask for.
 
     `edges` are the slices' bounds [e0, e1), [e1, e2), ...; None for a first or last slice that
     is open.
@@ -83,15 +84,25 @@ def write_slices(
         append_slice(part, path, files_per_slice, wall_base_ms)
 
 
+def files_for(rows: int, rows_per_file: int = 1_000_000, least: int = 1) -> int:
+    """Number of files for a slice of so many rows."""
+    return max(least, -(-rows // rows_per_file))
+
+
 def append_slice(
     reports: DataFrame, path: str, files: int = 1, wall_base_ms: int | None = 0
 ) -> None:
-    to_wire(reports, wall_base_ms).repartition(files).write.mode("append").text(path)
+    """Append the reports as `files` files: what a slice lacks in rows it gets in empty lines, so that
+    a stream with as many files per trigger takes just one slice at a time."""
+    lines = to_wire(reports, wall_base_ms)
+    # One partition of `files` rows is dealt out as one row to each file.
+    blank = reports.sparkSession.range(0, files, 1, 1).select(F.lit("").alias("value"))
+    lines.unionByName(blank).repartition(files).write.mode("append").text(path)
 
 
-def close_feed(spark: SparkSession, path: str, last: int, spacing: int = 86400) -> None:
+def close_feed(spark: SparkSession, path: str, last: int, spacing: int = 86400, files: int = 1) -> None:
     """End a replay: a row of no vehicle far behind the last report lets every window close."""
-    append_slice(heartbeats(spark, [last + spacing]), path)
+    append_slice(heartbeats(spark, [last + spacing]), path, files)
 
 
 def union_streams(streams: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gantry import functions as G
 from gantry import schema as S
+from gantry.operators.trace import PIECE
 from gantry.rules import DEFAULT_RULES, SegmentRules
 
 
@@ -55,3 +56,21 @@ def write_by_block(
         positions.withColumn("block", G.segment_block(blocks)).hint("rebalance", F.col("block"))
         .write.mode("overwrite").partitionBy("block").parquet(path)
     )
+
+
+def write_bucketed(
+    positions: DataFrame, table: str, path: str, buckets: int, rules: SegmentRules = DEFAULT_RULES
+) -> DataFrame:
+    """Store reports as table `table` in buckets of segment and piece of time, sorted by vehicle and time.
+
+    Statistics of segments' minutes then start from the buckets without an exchange. A busy segment
+    is spread over the buckets of its pieces.
+    """
+    keys = [*rules.segment_cols, PIECE]
+    piece = G.chunk_of("simulated_time", rules.chunk_seconds).alias(PIECE)
+    (
+        positions.select("*", piece).repartition(buckets, *keys)
+        .write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys, "vid", "simulated_time")
+        .saveAsTable(table)
+    )
+    return positions.sparkSession.table(table)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry import functions as G
-from gantry.operators.trace import CHUNK
+from gantry.operators.trace import CHUNK, PIECE
 from gantry.rules import DEFAULT_RULES, SegmentRules
 
 # Digits kept of an average velocity, so that the order of a sum never moves it across a threshold.
@@ -51,13 +51,14 @@ def segment_minutes(positions: DataFrame, rules: SegmentRules = DEFAULT_RULES) -
     """Mean vehicle speed `a` and vehicle count `n` per segment and minute.
 
     Comes out partitioned by segment, as the windows over a segment's minutes need it. Positions that
-    are dealt out by vehicle and time already have each vehicle's minute in one place, and only sums
-    are shuffled.
+    are dealt out by vehicle and time, or stored in buckets of segment and time, already have each
+    vehicle's minute in one place, and only sums are shuffled.
     """
     seg = rules.segment_cols
-    if CHUNK in positions.columns and rules.chunk_seconds % 60 == 0:
+    cut = next((c for c in (CHUNK, PIECE) if c in positions.columns), None)
+    if cut and rules.chunk_seconds % 60 == 0:
         minute = G.minute_of("simulated_time").alias("minute")
-        each = _vehicle_minutes(positions.select("vid", CHUNK, *seg, minute, "simulated_time", "speed"), [CHUNK, *seg, "minute"])
+        each = _vehicle_minutes(positions.select("vid", cut, *seg, minute, "simulated_time", "speed"), [*seg, cut, "minute"])
         # Partial sums are formed where the vehicles are, so a busy minute is a few rows per task.
         return (
             each.groupBy(*seg, "minute").agg(F.sum("v").alias("v"), F.count("*").alias("n"))

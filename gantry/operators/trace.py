@@ -19,6 +19,8 @@ from gantry.rules import DEFAULT_RULES, SegmentRules
 
 # Column of `dealt_out` rows: the piece of time by which, with the vehicle, they are partitioned.
 CHUNK = "_chunk"
+# Column of reports stored in buckets of segment and piece of time.
+PIECE = "piece"
 PACKED = ["speed", "xway", "lane", "dir", "seg", "pos", "wall_ms"]
 
 

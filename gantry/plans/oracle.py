@@ -394,6 +394,12 @@ def queries_sql() -> dict[str, str]:
     out["s_segment_stats"] = sql("""
         select xway, seg, minute, round(s.lav, 6) as lav, s.nov, t.toll
         from stats s join toll t using (xway, seg, minute)""", "stats", "toll")
+    out["s_vehicles_in_state"] = sql("select xway, seg, vid, simulated_time from entries", "entries")
+    out["s_stops_in_state"] = sql("""
+        select vid, xway, seg, lane, pos, t0 from closed_stops where t0 < 1880 and t1 >= 1880""", "closed_stops")
+    out["state_table"] = out["state_upsert"]
+    out["s_late_updates"] = out["s_minute_stats"]
+    out["segment_stats_bucketed"] = out["segment_stats"]
     out["s_late"] = sql(f"select type, {_MINUTE} as minute, count(*) as n from pos group by 1, 2",
                         "pos")
     out["s_restart"] = sql("""

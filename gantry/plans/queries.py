@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from gantry.operators import positions as P
 from gantry.operators import stats as ST
 from gantry.operators import trace as TR
 from gantry.operators.asof import asof_join
-from gantry.operators.joins import state_upsert
+from gantry.operators.joins import StateTable, state_upsert
 from gantry.plans.notify import Pipeline
 from gantry.rules import SegmentRules
 from gantry.schema import ACCOUNT_BALANCE, REPORT_FIELDS
@@ -89,6 +90,13 @@ def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(*REPORT_FIELDS, F.col("block").cast("int").alias("block"))
 
 
+def _bucketed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics from reports stored in buckets."""
+    name = f"reports_{uuid4().hex}"
+    stored = P.write_bucketed(pipeline(spark, sf_dir).positions, name, scratch_dir(spark, name), 8)
+    return ST.segment_stats(stored).withColumn("lav", F.round("lav", 6))
+
+
 def _minutes(spark: SparkSession, sf_dir: str, **options):
     p = pipeline(spark, sf_dir, **options)
     return ST.segment_minutes(p.positions, p.rules), p.rules
@@ -139,6 +147,17 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_upsert(state, batch, ["xway", "seg", "vid"])
 
 
+def _state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest reports per vehicle and segment, kept in blocks over three batches."""
+    pos = pipeline(spark, sf_dir).positions
+    state = StateTable(spark, scratch_dir(spark, "state"), ["xway", "seg", "vid"], G.segment_block(8))
+    t = F.col("simulated_time")
+    for version, part in enumerate((t < 1800, t.between(1800, BATCH_START - 1), t >= BATCH_START)):
+        batch = E.vehicle_latest(pos.filter(part))
+        state.update(batch, version)
+    return state.read(batch.schema)
+
+
 def _asof_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics as a minute begins, with the segment's latest accident signal; of two signals in
     one second the new accident counts, and a signal in that very second comes first."""
@@ -197,6 +216,7 @@ def batch_queries() -> dict[str, Query]:
         "segment_lav": _lav,
         "segment_lav_compat": lambda s, d: _lav(s, d, lav_keep_stale=True),
         "segment_stats": stage(lambda p: p.stats.withColumn("lav", F.round("lav", 6))),
+        "segment_stats_bucketed": _bucketed_stats,
         "segment_toll": stage(lambda p: p.tolls),
         "same_position_runs": stage(lambda p: TR.same_position_runs(p.positions)),
         "stopped_vehicles": stage(lambda p: A.stopped_vehicles(p.positions)),
@@ -218,6 +238,7 @@ def batch_queries() -> dict[str, Query]:
         "vehicles_retained": stage(lambda p: E.vehicles_retained(p.positions, 60)),
         "new_vehicles_batch": _new_batch,
         "state_upsert": _upsert,
+        "state_table": _state_table,
         "vehicle_latest": stage(lambda p: E.vehicle_latest(p.positions)),
         "segment_high_time": stage(lambda p: E.segment_high_time(p.positions)),
         "asof_stats": _asof_stats,

@@ -19,6 +19,8 @@ from gantry.streaming import stages as SG
 
 # Time slices of the replay; the first and the last are open.
 EDGES = [None, 2400, 4800, None]
+# The second at which the feed of the query that reads stops from the state breaks off.
+BREAK = 1880
 # Seconds of silence after which a vehicle is new again, in the query that has such a limit.
 TTL = 600
 
@@ -77,6 +79,17 @@ class Replay:
         self.run(SG.vehicle_events(self.report_stream()), "events")
         return self.table("events", PR.EVENTS)
 
+    @cached_property
+    def entries(self) -> DataFrame:
+        """First entries by the JVM's state alone: complete minutes, then who was not seen before."""
+        firsts = SG.window_firsts(self.report_stream())
+        self.run(firsts, "firsts")
+        found = SG.first_entries(SO.table_stream(self.spark, f"{self.root}/firsts", firsts.schema))
+        path = f"{self.root}/entries"
+        SK.finish(SK.to_each_batch(
+            found, SK.append_batches(path, "parquet"), f"{self.root}/checkpoints/entries", mode="update"))
+        return self.spark.read.schema(found.schema).parquet(path)
+
     @cached_property
     def minutes(self) -> DataFrame:
         self.run(SG.with_minute(SG.minute_stats(self.report_stream())), "minutes")
@@ -176,7 +189,28 @@ def _segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _new_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entry_rows(replay(spark, sf_dir).events)
+    found = replay(spark, sf_dir).entries.withColumnRenamed("t", "simulated_time")
+    return found.select("vid", "simulated_time", "speed", "xway", "lane", "dir", "seg", "pos")
+
+
+def _vehicles_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles that the state of the entries query remembers, read back from its checkpoint."""
+    r = replay(spark, sf_dir)
+    r.entries
+    state = SO.state_of(spark, f"{r.root}/checkpoints/entries")
+    return state.select("key.xway", "key.seg", "key.vid", F.col("value.min.t").alias("simulated_time"))
+
+
+def _stops_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicles that stand when a feed breaks off, from the tracker's checkpoint."""
+    r = replay(spark, sf_dir)
+    root = scratch_dir(spark, "standing")
+    SO.append_slice(r.reports.filter(F.col("simulated_time") < BREAK), f"{root}/feed", r.files)
+    SO.close_feed(spark, f"{root}/feed", BREAK, files=r.files)
+    events = SG.vehicle_events(r.report_stream(f"{root}/feed"))
+    SK.finish(SK.to_files(events, f"{root}/events", f"{root}/checkpoint"))
+    trace = SO.state_of(spark, f"{root}/checkpoint", variable="trace").select("key.vid", "value.*")
+    return trace.filter("t0 is not null").select("vid", "xway", "seg", "lane", "pos", "t0")
 
 
 def _new_vehicles_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +249,20 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter(F.col("minute") <= (r.end - 1) // 60 + 1)
 
 
+def _late_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute statistics where each tenth vehicle's reports come after all others."""
+    r = replay(spark, sf_dir)
+    root = scratch_dir(spark, "late_updates")
+    late = F.col("vid") % 10 == 3
+    for rows in (r.reports.filter(~late), r.reports.filter(late)):
+        SO.append_slice(rows, f"{root}/feed", r.files)
+    changes = SG.late_vehicle_minutes(r.report_stream(f"{root}/feed"))
+    SK.finish(SK.to_each_batch(
+        changes, SK.append_batches(f"{root}/changes", "parquet"), f"{root}/checkpoint", mode="update"))
+    stored = spark.read.schema("xway int, seg int, minute int, vid int, v double, batch int").parquet(f"{root}/changes")
+    return SG.latest_minutes(stored).select("xway", "seg", "minute", F.round("a", 6).alias("a"), "n")
+
+
 def _restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries and stops of a query that ended after the first slice and was started again."""
     r = replay(spark, sf_dir)
@@ -306,9 +354,12 @@ def stream_queries() -> dict[str, Query]:
         "s_segment_stats": _segment_stats,
         "s_new_vehicles": _new_vehicles,
         "s_new_vehicles_ttl": _new_vehicles_ttl,
+        "s_vehicles_in_state": _vehicles_in_state,
+        "s_stops_in_state": _stops_in_state,
         "s_accidents": _accidents,
         "s_notifications": _notifications,
         "s_late": _late,
+        "s_late_updates": _late_updates,
         "s_restart": _restart,
         "s_sink_csv": _sink_csv,
         "s_sink_foreach": _sink_foreach,

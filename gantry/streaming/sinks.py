@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gantry.functions.time import BASE_EPOCH
 
@@ -19,9 +19,9 @@ def stamped(notices: DataFrame) -> DataFrame:
     return notices.withColumn("emit_wall_ms", F.unix_millis(F.current_timestamp()))
 
 
-def _writer(df: DataFrame, checkpoint: str, trigger: str | None):
+def _writer(df: DataFrame, checkpoint: str, trigger: str | None, mode: str = "append"):
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     if trigger:
         return writer.trigger(processingTime=trigger)
     return writer.trigger(availableNow=True)
@@ -37,9 +37,35 @@ def to_files(
 
 def to_each_batch(
     df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
-    trigger: str | None = None,
+    trigger: str | None = None, mode: str = "append",
 ) -> StreamingQuery:
-    return _writer(df, checkpoint, trigger).foreachBatch(write).start()
+    """Hand each batch to `write`; with mode "update" a batch holds the rows of state it changed."""
+    return _writer(df, checkpoint, trigger, mode).foreachBatch(write).start()
+
+
+class LateReports(StreamingQueryListener):
+    """Counts, over all batches of a session's queries, the rows that came behind a watermark.
+
+    Register with `spark.streams.addListener`; `dropped` has a number per query id. Progress tells how many
+    rows each operator refused: the one next to the source sees every late report.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        progress = event.progress
+        late = max((o.numRowsDroppedByWatermark for o in progress.stateOperators), default=0)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
 
 
 def count_batches(path: str, **counts: Column) -> Callable[[DataFrame, int], None]:

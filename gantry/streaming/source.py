@@ -46,6 +46,19 @@ def table_stream(
     return reader.parquet(path)
 
 
+def state_of(
+    spark: SparkSession, checkpoint: str, operator: int = 0, variable: str | None = None
+) -> DataFrame:
+    """What a stateful operator of a query remembers after its last batch: `key`, `value`, `partition_id`.
+
+    Operators are numbered from the sink. `variable` names a state of a processor, as `trace` of vehicles.
+    """
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    if variable:
+        reader = reader.option("stateVarName", variable)
+    return reader.load(checkpoint)
+
+
 def in_event_time(
     stream: DataFrame, delay: str, t: str = "simulated_time", beat: Column | None = None
 ) -> DataFrame:

@@ -124,6 +124,41 @@ def vehicle_events(
     )
 
 
+def window_firsts(
+    reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
+) -> DataFrame:
+    """First report of each vehicle in each segment and minute, once the minute is complete."""
+    first = F.struct(F.col("simulated_time").alias("t"), "speed", "lane", "dir", "pos", "wall_ms")
+    names = ["t", "speed", "lane", "pos", "wall_ms"] + [c for c in ("dir",) if c not in rules.segment_cols]
+    return (
+        in_event_time(positions(reports), delay)
+        .groupBy(F.window("ts", "1 minute").alias("w"), *rules.segment_cols, "vid")
+        .agg(F.min(first).alias("first"))
+        .select("vid", *rules.segment_cols, *(F.col(f"first.{c}") for c in names))
+    )
+
+
+def first_entries(firsts: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
+    """First sight of each vehicle in each segment, for a query in update mode over the table that
+    `window_firsts` writes.
+
+    The state is an aggregation's, held by the JVM: the least report of a vehicle and segment, and when
+    the batch ran that first had one. An update whose batch is this very one is a new entry; later
+    batches hold later minutes only, so the least report is the first. Unlike the tracker's, this
+    state is spread by segment and vehicle, and no Python runs.
+    """
+    keys = [*rules.segment_cols, "vid"]
+    rest = [c for c in firsts.columns if c not in keys]
+    # The greatest of the negative times is the earliest; two sums of one kind would share a name in the state.
+    ago = -F.unix_micros(F.current_timestamp())
+    return (
+        firsts.withColumn("ago", ago).groupBy(*keys)
+        .agg(F.min(F.struct("t", *[c for c in rest if c != "t"])).alias("first"), F.max("ago").alias("seen"))
+        .filter(F.col("seen") == ago)
+        .select(*keys, "first.*")
+    )
+
+
 def vehicle_minutes(
     reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
 ) -> DataFrame:
@@ -137,6 +172,24 @@ def vehicle_minutes(
     )
 
 
+def late_vehicle_minutes(
+    reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, retention: str = "1 day"
+) -> DataFrame:
+    """Each vehicle's speed per segment and minute, told anew when a late report changes it.
+
+    For a query in update mode: a batch holds what it changed. A minute stays in the state, and takes
+    reports, until the watermark is `retention` past it, which bounds the state.
+    """
+    return with_minute(vehicle_minutes(reports, rules, retention)).select(*rules.segment_cols, "minute", "vid", "v")
+
+
+def latest_minutes(changes: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
+    """Minute statistics from the latest of each vehicle's changes (column `batch`), late reports included."""
+    keys = [*rules.segment_cols, "minute"]
+    latest = changes.groupBy(*keys, "vid").agg(F.max_by("v", "batch").alias("v"))
+    return latest.groupBy(*keys).agg(F.avg("v").alias("a"), F.count("*").alias("n"))
+
+
 def minute_stats(
     reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
 ) -> DataFrame:

@@ -3,7 +3,8 @@
 import re
 
 import pytest
-from conftest import SF
+from conftest import SF, rows
+from pyspark.sql import functions as F
 
 from gantry import SegmentRules
 from gantry.operators import stats as ST
@@ -85,3 +86,40 @@ def test_all_stages_share_a_scan_and_a_shuffle(spark, tmp_path, rules):
 def test_tolls_are_looked_up_by_minute(spark):
     text = plan(QUERIES["asof_toll"](spark, SF))
     assert "_span" in text and not re.search(r"hashpartitioning\(xway#\d+, seg#\d+, simulated_time#", text)
+
+
+def test_state_table_rewrites_touched_blocks_only(spark, tmp_path):
+    from gantry.operators.joins import StateTable
+
+    state = StateTable(spark, str(tmp_path / "state"), ["xway", "seg", "vid"], F.col("seg") % 4)
+    schema = "xway int, seg int, vid int, t int"
+
+    def put(version, *found):
+        state.update(spark.createDataFrame([(0, s, v, t) for s, v, t in found], schema), version)
+
+    def files():
+        return {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.parquet")}
+
+    put(0, (0, 1, 10), (1, 1, 20), (5, 2, 25))
+    before = files()
+    put(1, (1, 1, 30), (2, 9, 30))
+    new = files() - before
+    assert before <= files() and {p.split("/")[2] for p in new} == {"block=1", "block=2"}
+    shape = spark.createDataFrame([], schema).schema
+    want = [(0, 0, 1, 10), (0, 1, 1, 30), (0, 2, 9, 30), (0, 5, 2, 25)]
+    assert rows(state.read(shape)) == want
+    put(1, (1, 1, 30), (2, 9, 30))  # the batch is repeated
+    assert rows(state.read(shape)) == want
+    assert rows(state.read(shape, before=1)) == [(0, 0, 1, 10), (0, 1, 1, 20), (0, 5, 2, 25)]
+    assert rows(state.read(shape, {3})) == []
+
+
+def test_bucketed_reports_are_not_shuffled(spark, tmp_path):
+    from gantry.operators.positions import write_bucketed
+
+    stored = write_bucketed(pipeline(spark, SF).positions, "bucketed_reports", str(tmp_path / "b"), 4)
+    text = plan(ST.segment_stats(stored))
+    assert not re.search(r"Exchange[^\n]*(vid|piece)#", text) and "Bucketed: true" in text
+    # What is shuffled are sums: a row per segment, minute and task.
+    assert len(re.findall(r"Exchange hashpartitioning\(xway#\d+, seg#\d+", text)) == text.count("Exchange") == 2
+    spark.sql("drop table bucketed_reports")

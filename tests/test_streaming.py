@@ -1,5 +1,7 @@
 """Streams under the options, against the plain fold."""
 
+import time
+
 import model
 import pytest
 from conftest import rows
@@ -142,12 +144,76 @@ def test_silent_vehicles_leave_the_state(spark):
     want = [r for r in model.entries(reports, rules) if r["simulated_time"] <= reach]
     assert rows(events.filter(f"kind = {PR.ENTRY}"), "t", "vid", "seg") == sorted(
         (r["simulated_time"], r["vid"], r["seg"]) for r in want)
-    store = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "seen")
-    held = store.load(f"{root}/checkpoint").select("key.vid", "user_map_value.t").collect()
-    assert held and all(r.t + 150 >= reach - 120 for r in held)
+    state = SO.state_of(spark, f"{root}/checkpoint", variable="trace").select("key.vid", "value.seen").collect()
+    held = [t for r in state for t in r.seen[3::4]]  # four numbers a segment, the last is the second
+    assert held and all(t + 150 >= reach - 120 for t in held)
     assert len(held) < 5 * 8
 
 
+def test_first_entries_run_no_python(spark):
+    """Both queries behind first entries are aggregations in the JVM; the plan of vehicles' stops is not."""
+    stream = SO.report_stream(SO.line_stream(spark, scratch_dir_with_a_line(spark)))
+    firsts = SG.window_firsts(stream)
+    path = scratch_dir(spark, "firsts")
+    spark.createDataFrame([], firsts.schema).write.parquet(path)
+    for df in (firsts, SG.first_entries(SO.table_stream(spark, path, firsts.schema))):
+        text = df._jdf.queryExecution().analyzed().toString()
+        assert "Aggregate" in text and "Python" not in text and "TransformWithState" not in text
+    assert "TransformWithState" in SG.vehicle_events(stream)._jdf.queryExecution().analyzed().toString()
+
+
+def scratch_dir_with_a_line(spark):
+    path = scratch_dir(spark, "line")
+    SO.append_slice(table(spark, [REPORT]), path)
+    return path
+
+
+def test_first_entries_over_batches(spark):
+    """Out of order within the delay, and met again in later batches: each vehicle and segment once."""
+    reports, root = traffic(4, vehicles=7), scratch_dir(spark, "first_entries")
+    late = [r for r in reports if r["simulated_time"] in range(570, 600) and r["vid"] % 2]
+    for part in ([r for r in reports if r["simulated_time"] < 600 and r not in late],
+                 [r for r in reports if r["simulated_time"] >= 600 or r in late]):
+        SO.append_slice(table(spark, part), f"{root}/feed")
+    SO.close_feed(spark, f"{root}/feed", 100_000)
+    for _ in range(2):  # ended after each slice, and started again
+        stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1))
+        firsts = SG.window_firsts(stream)
+        SK.finish(SK.to_files(firsts, f"{root}/firsts", f"{root}/checkpoint-firsts"))
+        found = SG.first_entries(SO.table_stream(spark, f"{root}/firsts", firsts.schema))
+        SK.finish(SK.to_each_batch(
+            found, SK.append_batches(f"{root}/entries", "parquet"), f"{root}/checkpoint-entries", mode="update"))
+    entries = spark.read.schema(found.schema).parquet(f"{root}/entries")
+    want = model.entries([r for r in reports if r["vid"] >= 0], SegmentRules())
+    assert rows(entries, "t", "vid", "seg") == sorted((r["simulated_time"], r["vid"], r["seg"]) for r in want)
+
+
+def test_late_reports_are_counted_and_change_their_minute(spark):
+    root, listener = scratch_dir(spark, "late"), SK.LateReports()
+    on_time = [dict(REPORT, vid=v, simulated_time=20 * k, speed=50, pos=k) for v in (1, 2) for k in range(40)]
+    late = [dict(REPORT, vid=3, simulated_time=t, speed=20, pos=t) for t in (5, 15, 70)]
+    for part in (on_time, [], late):
+        SO.append_slice(table(spark, part or [dict(REPORT, vid=-1, xway=-1, seg=-1, simulated_time=5000)]), f"{root}/feed")
+    stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1)).filter("vid >= -1")
+    spark.streams.addListener(listener)
+    try:
+        query = SK.finish(SK.to_files(SG.with_minute(SG.vehicle_minutes(stream)), f"{root}/out", f"{root}/checkpoint"))
+        changes = SG.late_vehicle_minutes(stream)
+        kept = SK.finish(SK.to_each_batch(
+            changes, SK.append_batches(f"{root}/changes", "parquet"), f"{root}/checkpoint-changes", mode="update"))
+        for _ in range(100):
+            if listener.dropped.get(str(query.id)) and str(kept.id) in listener.dropped:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.dropped[str(query.id)] == 3 - 1  # two of one vehicle, minute and batch are one group
+    assert listener.dropped[str(kept.id)] == 0
+    assert spark.read.parquet(f"{root}/out").filter("vid = 3").count() == 0
+    stored = spark.read.schema("xway int, seg int, minute int, vid int, v double, batch int").parquet(f"{root}/changes")
+    assert rows(SG.latest_minutes(stored).filter("xway >= 0 and minute <= 2"), "minute", "a", "n") == [(1, 40.0, 3), (2, 40.0, 3)]
+
+
 def test_disorder_within_the_delay(spark):
     """Reports up to a minute late arrive after newer ones and still count in their place."""
     reports, rules = traffic(9, vehicles=6), SegmentRules(entry_mode="crossing")

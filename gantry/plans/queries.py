@@ -77,9 +77,10 @@ def _union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_per_second(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources that both have the positions."""
+    """Two sources that both have the positions, the other one with speeds of its own."""
     p = pipeline(spark, sf_dir)
-    return IO.one_per_second(IO.union_sources([p.reports, p.positions])).select(*REPORT_FIELDS)
+    other = p.positions.withColumn("speed", F.col("speed") + F.col("vid") % 3 - 1)
+    return IO.one_per_second(IO.union_sources([p.reports, other])).select(*REPORT_FIELDS)
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:

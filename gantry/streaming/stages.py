@@ -162,14 +162,27 @@ def first_entries(firsts: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> Dat
 def vehicle_minutes(
     reports: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = DELAY
 ) -> DataFrame:
-    """Each vehicle's speed per segment and minute, as the minute closes."""
-    speed, t = F.col("speed"), F.col("simulated_time")
-    n, s1 = F.count("*"), F.min_by("speed", t)
-    return (
+    """Each vehicle's speed per segment and minute, as the minute closes; of several reports in one
+    second the least counts, as everywhere."""
+    seg = rules.segment_cols
+    report = F.struct(F.col("simulated_time").alias("t"), "speed", "xway", "lane", "dir", "seg", "pos")
+
+    def segment(r):
+        return F.struct(*(r[c].alias(c) for c in seg))
+
+    def in_segment(g):
+        mine = F.filter("reports", lambda r: reduce(F.Column.__and__, [r[c] == g[c] for c in seg]))
+        speeds = F.transform(mine, lambda r: r["speed"])
+        return F.struct(*(g[c].alias(c) for c in seg), speeds.alias("speeds"))
+
+    each = (
         in_event_time(positions(reports), delay)
-        .groupBy(F.window("ts", "1 minute").alias("w"), *rules.segment_cols, "vid")
-        .agg((s1 + (F.sum(speed) - n * s1) / 2).alias("v"))
+        .groupBy(F.window("ts", "1 minute").alias("w"), "vid")
+        .agg(_one_per_second(F.collect_list(report)).alias("reports"))
+        .select("w", "vid", F.inline(F.transform(F.array_distinct(F.transform("reports", segment)), in_segment)))
     )
+    s1, total = F.get("speeds", F.lit(0)), F.aggregate("speeds", F.lit(0), lambda x, y: x + y)
+    return each.select("w", *seg, "vid", (s1 + (total - F.size("speeds") * s1) / 2).alias("v"))
 
 
 def late_vehicle_minutes(

@@ -240,3 +240,21 @@ def test_unsupported_options_are_refused():
         SG.segment_history(None, SegmentRules(lav_keep_stale=True))
     with pytest.raises(ValueError):
         SegmentRules(entry_mode="any")
+
+
+def test_statistics_count_one_report_per_second(spark):
+    """Batch and stream take the same of two reports in a second, also where these lie in two segments."""
+    from gantry.operators import stats as ST
+    from gantry.sources import one_per_second
+
+    reports = [dict(REPORT, vid=v, simulated_time=10 * k, speed=30 + (7 * k + 3 * v + 11 * copy) % 20, pos=k, seg=k // 5 + copy * (k % 2))
+               for v in (1, 2, 3) for k in range(30) for copy in (0, 1)]
+    root = scratch_dir(spark, "ties")
+    for part in (reports[::2] + reports[1::2], [dict(REPORT, vid=-1, xway=-1, seg=-1, simulated_time=5000)]):
+        SO.append_slice(table(spark, part), f"{root}/feed")
+    stream = SO.report_stream(SO.line_stream(spark, f"{root}/feed", 1))
+    SK.finish(SK.to_files(SG.with_minute(SG.minute_stats(stream)), f"{root}/out", f"{root}/checkpoint"))
+    got = spark.read.schema("xway int, seg int, a double, n bigint, minute int").parquet(f"{root}/out")
+    want = ST.segment_minutes(one_per_second(table(spark, reports)))
+    columns = ("xway", "seg", "minute", "a", "n")
+    assert rows(got, *columns) == rows(want, *columns) and len(rows(want)) > 10

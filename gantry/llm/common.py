@@ -24,6 +24,17 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns of a row in one struct, beside which any name is free."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def others(df: DataFrame, results) -> list[Column]:
+    """The columns in _row (see row_of) that no result replaces, under their own names."""
+    taken = {r.lower() for r in results}
+    return [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in taken]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -11,9 +11,11 @@ The filters never miss a repeat, so the result is exact whatever their size; the
 `max_bits` (32 MB), only decides how many unrepeated lines are suspected. Beyond about 10^8 distinct
 lines the filters fill up, and in the limit every line's digest is shuffled (never its text).
 
-Defined results: a null text is one empty line; a null doc_id comes after all others; rows that
-repeat a doc_id are one document (their lines are not repeats of each other); an empty table gives
-an empty result; other columns are passed on, columns named as a result are replaced.
+Defined results: a null text is one empty line; rows without a doc_id are one
+document, which comes after all others; rows that repeat a doc_id are one document (their lines are not
+repeats of each other); an empty table gives
+an empty result; other columns are passed on whatever their names, but columns named as a result are
+replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm.bloom import filter_bits, holds, positions, seen
-from gantry.llm.common import SPACE, let, read, saved, whole_text
+from gantry.llm.common import SPACE, let, others, read, row_of, saved, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +53,10 @@ def _hash(line: Column, rules: LineRules) -> Column:
 
 
 def dropped_lines(rows: DataFrame, rules: LineRules) -> DataFrame:
-    """(_id, _text_hash, dropped): places of the lines that each row of (_id, _text, _text_hash) loses."""
+    """(_lone, _id, _text_hash, dropped): places of the lines that each row loses.
+
+    rows: (_lone, _id, _text, _text_hash); _lone tells a row without an id, whose _id is 0.
+    """
     hashed = F.transform(F.split("_text", "\n"), lambda x: _hash(x, rules))
     once = saved(rows.select(F.array_distinct(F.filter(hashed, lambda x: x != 0)).alias("h")), "line_hashes")
     lines = once.agg(F.sum(F.size("h"))).first()[0] or 0
@@ -73,27 +78,29 @@ def dropped_lines(rows: DataFrame, rules: LineRules) -> DataFrame:
     found = rows.withColumn("s", suspects(hashed)).filter(F.size("s") > 0)
     places = let(F.split("_text", "\n"), lambda lines: F.transform(
         "s", lambda i: F.struct(i.alias("at"), key(lines[i]).alias("key"))))
-    found = saved(found.select("_id", "_text_hash", F.inline(places)), "suspected_lines")
-    owner = found.groupBy("key").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+    found = saved(found.select("_lone", "_id", "_text_hash", F.inline(places)), "suspected_lines")
+    named = F.when(~F.col("_lone"), F.col("_id"))
+    owner = found.groupBy("key").agg(
+        F.min(named).alias("first"), F.max(named).alias("last"), F.max("_lone").alias("lone_too"))
     # Written, so that the join can split a line that a great many documents hold.
-    owner = saved(owner.filter("first < last").select("key", "first"), "repeated_lines")
-    lost = found.join(owner, "key").filter(F.col("_id") > F.col("first"))
-    return lost.groupBy("_id", "_text_hash").agg(F.collect_set("at").alias("dropped"))
+    owner = saved(owner.filter("first < last or (first is not null and lone_too)").select("key", "first"), "repeated_lines")
+    lost = found.join(owner, "key").filter(F.col("_lone") | (F.col("_id") > F.col("first")))
+    return lost.groupBy("_lone", "_id", "_text_hash").agg(F.collect_set("at").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """`docs` with the kept lines as text, n_lines and n_dropped."""
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col(doc_id), F.lit((1 << 63) - 1)), "_text": whole_text(text)})
-    keyed = keyed.withColumn("_text_hash", F.xxhash64("_text"))
-    lost = dropped_lines(keyed.select("_id", "_text", "_text_hash"), rules)
-    both = keyed.join(lost, ["_id", "_text_hash"], "left")
+    whole = whole_text(text)
+    keyed = docs.select(
+        row_of(docs).alias("_row"), F.col(doc_id).isNull().alias("_lone"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_id"),
+        whole.alias("_text"), F.xxhash64(whole).alias("_text_hash"))
+    lost = dropped_lines(keyed.select("_lone", "_id", "_text", "_text_hash"), rules)
+    both = keyed.join(lost, ["_lone", "_id", "_text_hash"], "left")
     kept = F.when(F.col("dropped").isNull(), F.col("_text")).otherwise(let(F.split("_text", "\n"), lambda x: F.array_join(
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("dropped")), lambda i: x[i]), "\n")))
     out = {text: kept, "n_lines": F.size(F.split("_text", "\n")).cast("long"),
            "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long")}
-    names = [c for c in docs.columns if c not in out]
-    return both.select(*names, *(v.alias(k) for k, v in out.items()))
+    return both.select(*others(docs, out), *(v.alias(k) for k, v in out.items()))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ pairs of documents are formed.
 
 Defined results: null or empty texts have no words; a null doc_id comes after all others, in the
 order of its text's hash; rows that repeat a doc_id do not repeat each other; texts shorter than a
-window lose nothing; an empty table gives an empty result; other columns are passed on, columns named
-as a result are replaced.
+window lose nothing; every long is a valid id; an empty table gives an empty result; other columns are
+passed on whatever their names, but columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import read, saved, whole_text
-from gantry.llm.near_dedup import NO_ID, mixed, word_hashes
+from gantry.llm.common import others, read, row_of, saved, whole_text
+from gantry.llm.near_dedup import mixed, word_hashes
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -95,83 +95,97 @@ def blocks(w: np.ndarray, rules: PassageRules) -> tuple[np.ndarray, ...] | None:
 
 
 BLOCK = ["name", "f1", "f2", "windows"]
+#: A row: whether it has no id, its id or else its text's hash, and the text's hash.
+ROW = ["_lone", "_id", "_text_hash"]
+ROW_TYPES = "_lone boolean, _id long, _text_hash long"
+
+
+def ends() -> list[Column]:
+    """Least and largest id, and the same of the rows without one, which come after the others."""
+    named, lone = F.when(~F.col("_lone"), F.col("_id")), F.when(F.col("_lone"), F.col("_id"))
+    return [F.min(named).alias("low"), F.max(named).alias("high"), F.min(lone).alias("low_lone"), F.max(lone).alias("high_lone")]
+
+
+#: Of ends(): more than one document holds it; of a row beside them: an earlier document holds it.
+SEVERAL = "low < high or low_lone < high_lone or (low is not null and low_lone is not null)"
+LATER = "if(_lone, low is not null or _id > low_lone, _id > low)"
 
 
 def parsed(rows: DataFrame, rules: PassageRules) -> DataFrame:
-    def told(found: list, ids: list, others: list) -> pd.DataFrame:
+    def told(found: list, keys: list) -> pd.DataFrame:
         name, f1, f2, windows, start = (np.concatenate(x) for x in zip(*found))
         counts = [len(x[0]) for x in found]
+        lone, ids, hashed = zip(*keys)
         return pd.DataFrame({
             "name": name.view(np.int64), "f1": f1.view(np.int64), "f2": f2.view(np.int64),
             "windows": windows.astype(np.int32), "start": start.astype(np.int32),
-            "_id": np.repeat(np.array(ids, np.int64), counts), "_text_hash": np.repeat(np.array(others, np.int64), counts)})
+            "_lone": np.repeat(np.array(lone, bool), counts), "_id": np.repeat(np.array(ids, np.int64), counts),
+            "_text_hash": np.repeat(np.array(hashed, np.int64), counts)})
 
     def run(batches):
         for frame in batches:
-            found, ids, others, n = [], [], [], 0
-            for key, other, text in zip(frame["_id"], frame["_text_hash"], frame["_text"]):
+            found, keys, n = [], [], 0
+            for *key, text in zip(*(frame[c] for c in (*ROW, "_text"))):
                 made = blocks(word_hashes(text), rules)
                 if made is not None:
                     found.append(made)
-                    ids.append(key)
-                    others.append(other)
+                    keys.append(key)
                     n += len(made[0])
                 if n > 100_000:
-                    yield told(found, ids, others)
-                    found, ids, others, n = [], [], [], 0
+                    yield told(found, keys)
+                    found, keys, n = [], [], 0
             if found:
-                yield told(found, ids, others)
+                yield told(found, keys)
 
-    return rows.mapInPandas(
-        run, "name long, f1 long, f2 long, windows int, start int, _id long, _text_hash long")
+    return rows.mapInPandas(run, f"name long, f1 long, f2 long, windows int, start int, {ROW_TYPES}")
 
 
 def listed_windows(rows: DataFrame, wanted: DataFrame, rules: PassageRules) -> DataFrame:
-    """(w1, w2, _id, _text_hash, start) of the windows in the `wanted` blocks of the rows."""
-    lists = wanted.groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("s"))
-    lists = lists.select("_id", "_text_hash", F.col("s.start").alias("starts"), F.col("s.windows").alias("counts"))
+    """(w1, w2, start) and the row of the windows in the `wanted` blocks of the rows."""
+    lists = wanted.groupBy(*ROW).agg(F.collect_set(F.struct("start", "windows")).alias("s"))
+    lists = lists.select(*ROW, F.col("s.start").alias("starts"), F.col("s.windows").alias("counts"))
 
     def run(batches):
         for frame in batches:
-            for key, other, text, starts, counts in zip(*(frame[c] for c in (
-                    "_id", "_text_hash", "_text", "starts", "counts"))):
+            for lone, key, hashed, text, starts, counts in zip(*(frame[c] for c in (*ROW, "_text", "starts", "counts"))):
                 at = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, counts)])
                 w1, w2 = Spans(word_hashes(text)).hashes(at, rules.window)
-                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "_id": key,
-                                    "_text_hash": other, "start": at.astype(np.int32)})
+                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "start": at.astype(np.int32),
+                                    "_lone": lone, "_id": key, "_text_hash": hashed})
 
-    return rows.join(lists, ["_id", "_text_hash"]).mapInPandas(
-        run, "w1 long, w2 long, _id long, _text_hash long, start int")
+    return rows.join(lists, ROW).mapInPandas(run, f"w1 long, w2 long, start int, {ROW_TYPES}")
 
 
 def repeated(rows: DataFrame, rules: PassageRules) -> DataFrame:
-    """(_id, _text_hash, starts, counts): the repeated windows of each row of (_id, _text_hash, _text)."""
+    """(_lone, _id, _text_hash, starts, counts): the repeated windows of each row of these three and _text."""
     every = saved(parsed(rows, rules), "blocks")
-    names = every.groupBy("name").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
-    names = saved(names.filter("low < high").select("name"), "repeated_names")
+    names = saved(every.groupBy("name").agg(*ends()).filter(SEVERAL).select("name"), "repeated_names")
     common = saved(every.join(names, "name"), "common_blocks")
-    index = saved(common.groupBy(*BLOCK).agg(F.min("_id").alias("first")), "reference_blocks")
+    index = saved(common.groupBy(*BLOCK).agg(*ends()).select(*BLOCK, "low", "low_lone"), "reference_blocks")
     several = index.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
     several = saved(several, "differing_names")
-    owned = saved(common.join(index, BLOCK), "factored_blocks")
-    factors = owned.filter("_id > first").select("_id", "_text_hash", "start", "windows")
+    owned = common.join(index, BLOCK).withColumn("later", F.expr(LATER))
+    owned = saved(owned.select("name", *ROW, "start", "windows", "later"), "factored_blocks")
+    factors = owned.filter("later").select(*ROW, "start", "windows")
 
-    edges = owned.filter("_id = first").join(several, "name").select("_id", "_text_hash", "start", "windows")
-    windows = saved(listed_windows(rows.dropDuplicates(["_id", "_text_hash"]), edges, rules), "edge_windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
-    first = saved(first.filter("low < high").select("w1", "w2", "low"), "repeated_windows")
-    single = windows.join(first, ["w1", "w2"]).filter(F.col("_id") > F.col("low"))
-    single = single.select("_id", "_text_hash", "start", F.lit(1).alias("windows"))
-    lost = factors.unionAll(single).groupBy("_id", "_text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("s"))
-    return lost.select("_id", "_text_hash", F.col("s.start").alias("starts"), F.col("s.windows").alias("counts"))
+    edges = owned.filter("not later").join(several, "name").select(*ROW, "start", "windows")
+    windows = saved(listed_windows(rows.dropDuplicates(ROW), edges, rules), "edge_windows")
+    first = windows.groupBy("w1", "w2").agg(*ends()).filter(SEVERAL)
+    first = saved(first.select("w1", "w2", "low", "low_lone"), "repeated_windows")
+    single = windows.join(first, ["w1", "w2"]).filter(LATER)
+    single = single.select(*ROW, "start", F.lit(1).alias("windows"))
+    lost = factors.unionAll(single).groupBy(*ROW).agg(F.collect_set(F.struct("start", "windows")).alias("s"))
+    return lost.select(*ROW, F.col("s.start").alias("starts"), F.col("s.windows").alias("counts"))
 
 
 def dedup_passages(docs: DataFrame, rules: PassageRules = PassageRules(), text: str = "text",
                    doc_id: str = "doc_id") -> DataFrame:
     """`docs` with the kept words, joined by blanks, as text; n_words and n_removed."""
-    keyed = docs.withColumn("_text", whole_text(text)).withColumn("_text_hash", F.xxhash64("_text"))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col(doc_id), F.lit(NO_ID) + F.pmod("_text_hash", F.lit(NO_ID >> 1))))
-    lost = repeated(keyed.select("_id", "_text_hash", "_text"), rules)
+    whole = whole_text(text)
+    keyed = docs.select(
+        row_of(docs).alias("_row"), F.col(doc_id).isNull().alias("_lone"),
+        F.coalesce(F.col(doc_id), F.xxhash64(whole)).alias("_id"), F.xxhash64(whole).alias("_text_hash"), whole.alias("_text"))
+    lost = repeated(keyed.select(*ROW, "_text"), rules)
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def cut(texts: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.DataFrame:
@@ -191,9 +205,8 @@ def dedup_passages(docs: DataFrame, rules: PassageRules = PassageRules(), text:
             out.append((b" ".join(kept).decode(), len(found), removed))
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
-    both = keyed.join(lost, ["_id", "_text_hash"], "left").withColumn("_cut", cut("_text", "starts", "counts"))
-    names = [c for c in docs.columns if c not in (text, "n_words", "n_removed")]
-    return both.select(*names, F.col("_cut.text").alias(text), "_cut.n_words", "_cut.n_removed")
+    both = keyed.join(lost, ROW, "left").withColumn("_cut", cut("_text", "starts", "counts"))
+    return both.select(*others(docs, (text, "n_words", "n_removed")), F.col("_cut.text").alias(text), "_cut.n_words", "_cut.n_removed")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

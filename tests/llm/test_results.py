@@ -101,13 +101,42 @@ def test_near_copies_of_a_hub(spark):
     assert len(set(want.values())) > 1
 
 
+@pytest.mark.parametrize("share, times", [(0.2, 100), (0.3, 100), (0.2, 1000), (0.5, 1000), (0.5, 2)])
+def test_bands_meet_whatever_repeats(share, times):
+    """Sets of plain similarity 0.8, of which one text repeats a share of its shingles many times."""
+    rules = near_dedup.NearRules()
+    met, n = 0, 300
+    for k in range(n):
+        values = near_dedup.mixed(np.arange(1, 181, dtype=np.uint64) + np.uint64(1000 * k))
+        counts = np.where(np.arange(160) >= 160 - 160 * share, times, 1)
+        x, y = near_dedup.band_hashes(near_dedup.signatures(
+            [(values[:160], counts), (values[-160:], np.ones(160, np.int64))], rules.bands * rules.rows), rules.bands)
+        met += bool((x == y).any())
+    assert met >= 0.97 * n
+
+
+def test_repeated_passages(spark):
+    """Copies that repeat a passage 300 times, with and without a changed word, are copies still."""
+    rows = []
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(300)]
+        again = w[:66] * 300 + w
+        changed = ["new", *w[1:]]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(again)), (3 * k + 2, " ".join(changed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r._id: r["class"] for r in near_dedup.near_classes(docs).collect()}
+    want = near_classes(rows)
+    assert {want[3 * k + 1] for k in range(40)} == {3 * k for k in range(40)}
+    assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want)
+
+
 def test_probability_of_agreement():
     """Registers agree as often as the probability Jaccard similarity says, for weighted shingles too."""
     values = near_dedup.mixed(np.arange(1, 401, dtype=np.uint64))
     a = (values[:300], np.where(np.arange(300) < 60, 5, 1))
     b = (values[100:400], np.where(np.arange(300) < 60, 5, 1))
     wa, wb = np.zeros(400), np.zeros(400)
-    wa[:300], wb[100:] = 1 + np.log(a[1]), 1 + np.log(b[1])
+    wa[:300], wb[100:] = near_dedup.weights(a[1]), near_dedup.weights(b[1])
     expected = sum(1 / np.maximum(wa / wa[i], wb / wb[i]).sum() for i in range(400) if wa[i] and wb[i])
     x, y = near_dedup.signatures([a, b], 4000)
     assert abs((x == y).mean() - expected) < 0.03

@@ -59,7 +59,7 @@ def test_substring_dedup(docs):
 
 
 def test_near_dedup(docs):
-    got = {(r._id if r._id < near_dedup.NO_ID else None, r["class"]) for r in near_dedup.near_classes(docs).collect()}
+    got = {(r._id, r["class"]) for r in near_dedup.near_classes(docs).collect()}
     classes = {k: v for k, v in got if k is not None}
     assert classes == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9}
     assert sorted(v == 1 for k, v in got if k is None) == [False, True]
@@ -68,6 +68,36 @@ def test_near_dedup(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 7, 8, 9]
 
 
+BIG = (1 << 62, (1 << 62) + 9, (1 << 63) - 1, -(1 << 63))
+
+
+def test_near_dedup_of_any_id(spark):
+    """Ids up to both ends of the type, repeated ids of several texts, and rows without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(BIG[1], a), (BIG[2], a), (BIG[0], b), (BIG[0], b), (BIG[3], c), (None, c + " more"),
+            (1, a + " one"), (2, d), (2, "x y z"), (2, b + " two"), (3, d + " three"), (4, "x y z"), (None, "lone"), (None, "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r._id, r["class"]) for r in near_dedup.near_classes(docs).collect()}
+    assert got == {(BIG[1], 1), (BIG[2], 1), (1, 1), (BIG[0], 2), (2, 2), (3, 2), (4, 2), (BIG[3], BIG[3]), (None, BIG[3]), (None, None)}
+    kept = [(r.doc_id, r.text) for r in near_dedup.first_of_classes(docs).collect()]
+    assert {k for k, _ in kept} == {1, 2, BIG[3], None} and len(kept) == 4 and (None, "lone") in kept
+
+
+def test_passages_and_lines_of_any_id(spark):
+    """A row without an id comes after the largest one, and ids do not meet those without."""
+    lines = "a line of its own\nshared between all of them"
+    passage = " ".join(f"p{i}" for i in range(60))
+    ids = (*BIG, 5, None)
+    docs = spark.createDataFrame([(i, lines) for i in ids], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == {i: 0 if i == BIG[3] else 2 for i in ids}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs.filter(f"doc_id = {BIG[2]} or doc_id is null")).collect()} == {
+        BIG[2]: 0, None: 2}
+    docs = spark.createDataFrame([(i, passage) for i in ids], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_passages(docs).collect()} == {i: 0 if i == BIG[3] else 60 for i in ids}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_passages(
+        docs.filter(f"doc_id = {BIG[2]} or doc_id is null")).collect()} == {BIG[2]: 0, None: 60}
+
+
 def test_decontamination(docs, items):
     found = {tuple(r) for r in decontamination.leaks(docs, items).collect()}
     assert {(d, i, e) for d, i, e, _ in found if i == 1} == {(1, 1, 0), (2, 1, 0), (3, 1, 0), (None, 1, 0)}

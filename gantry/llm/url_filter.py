@@ -7,30 +7,41 @@ by the number of different characters seen after it (Witten and Bell). A URL wit
 allowed if the difference of its log-likelihoods per character reaches a threshold, which is set
 where samples that the models have not seen are told apart best.
 
-The models are fitted on at most `max_samples` different URLs of each verdict, those of least hash
-and of `max_length` characters at most; counts are taken by Spark, and as many at most as the samples
-have characters times orders reach the driver. Every URL is judged where it is read.
+Both models are counted over all URLs that rules decide, whole, each distinct one once, but for one in
+`held` of them, which set the threshold. Spark adds up the counts of each context and character, by
+64-bit hash. What is broadcast has one size whatever the input: counts are folded into tables of
+2^`bits` places, where contexts that meet in a place share it (a count is never taken for more than
+that of its context). The threshold comes from a histogram of all the held URLs' ratios.
 
 Defined results: a null url, and one without `://`, has empty host and path, no rule, and is judged
 by what it has (null: nothing, which is allowed); if one verdict has no samples, what has no rule is
 allowed; rows are judged one by one; an empty table gives an empty result; other columns are passed
-on, columns named as a result are replaced.
+on whatever their names, but columns named as a result are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import let, read
+from gantry.llm.common import let, others, read, row_of
 from gantry.llm.line_dedup import LOWER, UPPER
+from gantry.llm.near_dedup import mixed
 
-START, END = "\x02", "\x03"
+START, END = 2, 3
+VERDICTS = ("allow", "block")
+#: Bins of the ratios' histogram in a unit; ratios lie within 2 * BOUND units.
+BINS, BOUND = 2000, 40
+#: Places of a table that travel to the driver in one row.
+BLOCK = 1 << 14
+#: Characters that are worked on at a time, unless one URL has more.
+AT_ONCE = 200_000
 
 
 @dataclass(frozen=True)
@@ -40,60 +51,69 @@ class UrlRules:
         ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
         ("com", "/fr/", "allow"), ("com", "/de/", "block"))
     order: int = 4
-    max_samples: int = 20_000
-    max_length: int = 1000
+    #: places in a table of counts, as a power of two
+    bits: int = 20
     #: one in so many samples sets the threshold
     held: int = 5
 
 
-@dataclass
-class Markov:
-    """log p by context and character, and the log weight of the shorter context by context."""
-
-    seen: dict[str, float] = field(default_factory=dict)
-    shorter: dict[str, float] = field(default_factory=dict)
-    other: float = math.log(1 / 256)
-    order: int = 4
-
-    def log_p(self, text: str, end: int) -> float:
-        total = 0.0
-        for k in range(min(self.order, end), -1, -1):
-            context = text[end - k:end]
-            p = self.seen.get(context + text[end])
-            if p is not None:
-                return total + p
-            total += self.shorter.get(context, 0.0)
-        return total + self.other
-
-    @classmethod
-    def of(cls, counts: dict[tuple[str, str], int], order: int) -> Markov:
-        model = cls(order=order)
-        after: dict[str, dict[str, int]] = defaultdict(dict)
-        for (context, c), n in counts.items():
-            after[context][c] = n
-        for context in sorted(after, key=len):
-            found = after[context]
-            n, kinds = sum(found.values()), len(found)
-            model.shorter[context] = math.log(kinds / (n + kinds))
-            for c, k in found.items():
-                less = math.exp(model.log_p(context[1:] + c, len(context) - 1)) if context else 1 / 256
-                model.seen[context + c] = math.log((k + kinds * less) / (n + kinds))
-        return model
+def grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of texts that are worked on at a time."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > AT_ONCE:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
+
+
+def hashed(texts: list[str], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Hashes of the contexts of each length up to `order`, and of these with the next character, for every
+    character of the texts and their ends; and how many of these each text has."""
+    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    sizes = np.array([len(c) + 1 for c in codes])
+    every = np.concatenate([x for c in codes for x in (np.full(order, START), c, [END])]).astype(np.uint64)
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(texts) + 1) * order, sizes)
+    own = mixed(every[at] + np.uint64(1 << 32))
+    context = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
+    contexts, grams = [], []
+    for k in range(order + 1):
+        if k:
+            context = mixed(context * np.uint64(0xC2B2AE3D27D4EB4F) + every[at - k])
+        contexts.append(context)
+        grams.append(mixed(context + own))
+    return contexts, grams, sizes
 
 
 @dataclass
 class Judge:
-    allow: Markov
-    block: Markov
+    """Of each verdict the counts of grams, of contexts, and of the characters seen after contexts."""
+
+    tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    order: int
     threshold: float = 0.0
 
-    def ratio(self, text: str | None) -> float:
-        """Difference of the log-likelihoods per character."""
-        if not text:
-            return math.inf
-        padded = START * self.allow.order + text + END
-        places = range(self.allow.order, len(padded))
-        return sum(self.allow.log_p(padded, i) - self.block.log_p(padded, i) for i in places) / len(places)
+    def log_p(self, verdict: str, contexts: list[np.ndarray], grams: list[np.ndarray]) -> np.ndarray:
+        found, total, kinds = self.tables[verdict]
+        mask = np.uint64(len(found) - 1)
+        p = np.full(len(grams[0]), 1 / 256)
+        for x, g in zip(contexts, grams):
+            n, t = total[x & mask], kinds[x & mask]
+            seen = np.minimum(found[g & mask], n)
+            p = np.where(n > 0, (seen + t * p) / np.maximum(n + t, 1), p)
+        return np.log(p)
+
+    def ratios(self, texts: list[str | None]) -> np.ndarray:
+        """Difference of the log-likelihoods per character of each text; infinite for none."""
+        out = np.full(len(texts), np.inf)
+        full = [i for i, t in enumerate(texts) if t]
+        for a, b in grouped([texts[i] for i in full]):
+            contexts, grams, sizes = hashed([texts[i] for i in full[a:b]], self.order)
+            each = self.log_p("allow", contexts, grams) - self.log_p("block", contexts, grams)
+            out[full[a:b]] = np.add.reduceat(each, np.cumsum(sizes) - sizes) / sizes
+        return out
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -122,36 +142,85 @@ def told(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(url)
 
 
+def counted(sample: DataFrame, rules: UrlRules) -> DataFrame:
+    """(v, x, g, n): how often the character of g follows context x in URLs t of verdict v, by hash."""
+
+    def run(batches):
+        for frame in batches:
+            for v, part in frame.groupby("v"):
+                texts = part["t"].tolist()
+                for a, b in grouped(texts):
+                    contexts, grams, _ = hashed(texts[a:b], rules.order)
+                    g, first, n = np.unique(np.concatenate(grams), return_index=True, return_counts=True)
+                    x = np.concatenate(contexts)[first]
+                    yield pd.DataFrame({"v": v, "x": x.view(np.int64), "g": g.view(np.int64), "n": n})
+
+    rows = sample.select("v", "t").mapInPandas(run, "v string, x long, g long, n long")
+    return rows.groupBy("v", "x", "g").agg(F.sum("n").alias("n"))
+
+
+def tables(counts: DataFrame, bits: int) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """See Judge; folded by Spark, so that rows of blocks of places reach the driver, never counts of grams."""
+    mask = (1 << bits) - 1
+    zero = F.lit(0).cast("long")
+    # Contexts are known by their grams: one row of these is one kind of character.
+
+    def spot(hashed: str, *numbers: Column) -> Column:
+        return F.struct(F.col(hashed).bitwiseAND(mask).alias("at"), *(
+            n.alias(c) for n, c in zip(numbers, ("found", "total", "kinds"))))
+
+    spots = counts.select("v", F.explode(F.array(
+        spot("g", F.col("n"), zero, zero), spot("x", zero, F.col("n"), zero + 1))).alias("s"))
+    spots = spots.groupBy("v", "s.at").agg(*(F.sum(f"s.{c}").alias(c) for c in ("found", "total", "kinds")))
+
+    def laid_out(frame: pd.DataFrame) -> pd.DataFrame:
+        made = {"v": frame["v"].iloc[:1], "block": frame["block"].iloc[:1]}
+        for c in ("found", "total", "kinds"):
+            part = np.zeros(BLOCK, "<f4")
+            part[frame["at"].to_numpy() % BLOCK] = frame[c]
+            made[c] = [part.tobytes()]
+        return pd.DataFrame(made)
+
+    size = max(1 << bits, BLOCK)
+    out = {v: tuple(np.zeros(size, "<f4") for _ in range(3)) for v in VERDICTS}
+    laid = spots.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("v", "block").applyInPandas(
+        laid_out, "v string, block long, found binary, total binary, kinds binary")
+    for row in laid.toLocalIterator():
+        for table, part in zip(out[row.v], (row.found, row.total, row.kinds)):
+            table[row.block * BLOCK:(row.block + 1) * BLOCK] = np.frombuffer(part, "<f4")
+    return {v: tuple(t[:1 << bits] for t in found) for v, found in out.items()}
+
+
+def best_threshold(found: list[tuple[int, str, int]]) -> float:
+    """Where (bin, verdict, number) are told apart best: the middle between the bins on its sides."""
+    total = {v: sum(n for _, w, n in found if w == v) for v in VERDICTS}
+    if not min(total.values()):
+        return 0.0
+    bins = sorted({b for b, _, _ in found})
+    at = {(b, v): n for b, v, n in found}
+    below = dict.fromkeys(VERDICTS, 0)
+    best = (1.0, -math.inf)
+    for i, b in enumerate(bins):
+        for v in VERDICTS:
+            below[v] += at.get((b, v), 0)
+        upper = bins[i + 1] if i + 1 < len(bins) else b
+        right = 1 - below["allow"] / total["allow"] + below["block"] / total["block"]
+        best = max(best, (right, (b + upper + 1) / 2 / BINS))
+    return best[1]
+
+
 def fitted(ruled: DataFrame, rules: UrlRules = UrlRules(), url: str = "url") -> Judge | None:
     """Models of the URLs that rules decide; None if a verdict has no samples."""
-    text = told(F.col(url))
-    known = ruled.filter(F.col("_ruled").isNotNull()).select(text.alias("t"), F.col("_ruled").alias("v"))
-    known = known.filter(F.length("t").between(1, rules.max_length)).distinct()
-    each = [known.filter(F.col("v") == v).orderBy(F.xxhash64("t"), "t").limit(rules.max_samples) for v in ("allow", "block")]
-    sample = each[0].unionAll(each[1]).withColumn("late", F.pmod(F.xxhash64("t", F.lit(7)), F.lit(rules.held)) == 0)
-    padded = F.concat(F.lit(START * rules.order), F.col("t"), F.lit(END))
-    spots = F.explode(F.sequence(F.lit(rules.order), F.length("t") + rules.order))
-    rows = sample.filter(~F.col("late")).select("v", padded.alias("p"), spots.alias("i"))
-    rows = rows.select("v", "p", "i", F.explode(F.sequence(F.lit(0), F.lit(rules.order))).alias("k"))
-    rows = rows.select("v", F.expr("substring(p, i + 1 - k, k)").alias("x"), F.expr("substring(p, i + 1, 1)").alias("c"))
-    counts: dict[str, dict] = {"allow": {}, "block": {}}
-    for r in rows.groupBy("v", "x", "c").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[r.v][r.x, r.c] = r.n
-    if not counts["allow"] or not counts["block"]:
+    known = ruled.filter(F.col("_ruled").isNotNull()).select(told(F.col(url)).alias("t"), F.col("_ruled").alias("v"))
+    known = known.filter(F.length("t") > 0).distinct()
+    late = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(rules.held)) == 0
+    judge = Judge(tables(counted(known.filter(~late), rules), rules.bits), rules.order)
+    if not all(judge.tables[v][1].any() for v in VERDICTS):
         return None
-    judge = Judge(Markov.of(counts["allow"], rules.order), Markov.of(counts["block"], rules.order))
-    found = scored(sample.filter("late"), judge, "t").select("v", "_ratio").collect()
-    ratios = sorted((r._ratio, r.v == "allow") for r in found)
-    right = sum(a for _, a in ratios)
-    total = (right, len(ratios) - right)
-    if min(total):
-        best, good, bad = (1.0, -math.inf), right, total[1]
-        for k, (ratio, allowed) in enumerate(ratios):  # the threshold lies just above this ratio
-            good, bad = good - allowed, bad - (not allowed)
-            upper = ratios[k + 1][0] if k + 1 < len(ratios) else ratio
-            if upper > ratio or k + 1 == len(ratios):
-                best = max(best, (good / total[0] + 1 - bad / total[1], (ratio + upper) / 2))
-        judge.threshold = best[1]
+    ratio = F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), "_ratio"))
+    found = scored(known.filter(late), judge, "t").groupBy(F.floor(ratio * BINS).alias("b"), "v").agg(F.count(F.lit(1)).alias("n"))
+    # Bounded: a row per bin and verdict.
+    judge.threshold = best_threshold([(r.b, r.v, r.n) for r in found.collect()])
     return judge
 
 
@@ -160,20 +229,21 @@ def scored(rows: DataFrame, judge: Judge, text: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.ratio, na_action=None).astype(float)
+        return pd.Series(shared.value.ratios(texts.tolist()))
 
     return rows.withColumn("_ratio", ratio(F.col(text)))
 
 
 def judged(pages: DataFrame, rules: UrlRules = UrlRules(), url: str = "url") -> DataFrame:
     """`pages` with host, path, rule and verdict."""
-    ruled = with_rule(pages, rules, url)
+    ruled = with_rule(pages.select(F.col(url), row_of(pages).alias("_row")), rules, url)
     judge = fitted(ruled, rules, url)
-    if judge is None:
-        return ruled.withColumn("verdict", F.coalesce("_ruled", F.lit("allow"))).drop("_ruled")
-    out = scored(ruled.withColumn("_told", told(F.col(url))), judge, "_told")
-    other = F.when(F.col("_ratio") >= judge.threshold, "allow").otherwise("block")
-    return out.withColumn("verdict", F.coalesce("_ruled", other)).drop("_ruled", "_told", "_ratio")
+    verdict = F.lit("allow")
+    if judge is not None:
+        ruled = scored(ruled.withColumn("_told", told(F.col(url))), judge, "_told")
+        verdict = F.when(F.col("_ratio") >= judge.threshold, "allow").otherwise("block")
+    out = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("_ruled", verdict)}
+    return ruled.select(*others(pages, out), *(v.alias(k) for k, v in out.items()))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

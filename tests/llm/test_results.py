@@ -1,5 +1,6 @@
 """Registered queries against SQL or a plain version, over whole small tables."""
 
+import math
 import re
 
 import numpy as np
@@ -7,11 +8,12 @@ import pandas as pd
 import pytest
 from compare import compare, duck
 from llm_cases import SF, base_secrets, checksum, edit_distance, lines_kept, near_classes, passages_kept, quality_counts, sha
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from gantry.llm import decontamination, near_dedup, packing, quality_rules, secrets
+from gantry.llm import decontamination, near_dedup, packing, quality_rules, secrets, url_filter
 from gantry.llm.common import components, read
 from gantry.llm.queries import llm_queries, llm_sql
 
@@ -338,3 +340,71 @@ def test_pipeline(spark, encode):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert sorted(map(tuple, got[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == want
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def plain_ratios(known, texts, order=4):
+    """Difference per character of two interpolated models, counted in plain dictionaries."""
+    models = {}
+    for verdict in ("allow", "block"):
+        after = {}
+        for t in (t for t, v in known if v == verdict):
+            padded = "\x02" * order + t + "\x03"
+            for i in range(order, len(padded)):
+                for k in range(order + 1):
+                    at = after.setdefault(padded[i - k:i], {})
+                    at[padded[i]] = at.get(padded[i], 0) + 1
+        models[verdict] = after
+
+    def log_p(after, context, c):
+        p = 1 / 256
+        for k in range(order + 1):
+            found = after.get(context[order - k:])
+            if found:
+                n = sum(found.values())
+                p = (found.get(c, 0) + len(found) * p) / (n + len(found))
+        return math.log(p)
+
+    out = {}
+    for t in texts:
+        padded = "\x02" * order + t + "\x03"
+        each = [log_p(models["allow"], padded[i - order:i], padded[i]) - log_p(models["block"], padded[i - order:i], padded[i])
+                for i in range(order, len(padded))]
+        out[t] = sum(each) / len(each)
+    return out
+
+
+def test_url_filter(spark):
+    """Ratios and verdicts of all pages next to models in plain dictionaries."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rules = url_filter.UrlRules()
+    ruled = url_filter.with_rule(pages, rules).withColumn("t", url_filter.told(F.col("url"))).withColumn(
+        "late", F.pmod(F.xxhash64("t", F.lit(7)), F.lit(rules.held)) == 0)
+    rows = ruled.select("page_id", "t", "_ruled", "late").collect()
+    known = {(r.t, r._ruled) for r in rows if r._ruled and r.t and not r.late}
+    want = plain_ratios(known, {r.t for r in rows if r.t})
+    judge = url_filter.fitted(ruled, rules)
+    got = dict(zip(want, judge.ratios(list(want))))
+    assert max(abs(got[t] - want[t]) for t in want) < 0.02
+    assert sum(abs(got[t] - want[t]) < 1e-4 for t in want) > 0.9 * len(want)
+    verdicts = {r.page_id: r.verdict for r in QUERIES["op7_url_filter"](spark, SF).collect()}
+    for r in rows:
+        if r._ruled or not r.t:
+            assert verdicts[r.page_id] == (r._ruled or "allow")
+        elif abs(want[r.t] - judge.threshold) > 0.02:
+            assert verdicts[r.page_id] == ("allow" if want[r.t] >= judge.threshold else "block")
+
+
+def test_url_models_tell_apart(spark):
+    """Held-out URLs of two kinds that no rule knows; long ones count whole and cost the driver nothing."""
+    draw = np.random.default_rng(3)
+
+    def word(letters):
+        return "".join(draw.choice(list(letters), 8))
+
+    rows = [(k, f"http://{'a.org' if k % 2 else 'b.com/de'}/" + "/".join(word("abcdef" if k % 2 else "uvwxyz") for _ in range(100 if k < 20 else 4)))
+            for k in range(600)]
+    rows += [(k, f"http://site.net/{word('abcdef' if k % 2 else 'uvwxyz')}/{word('abcdef' if k % 2 else 'uvwxyz')}") for k in range(600, 800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages).collect()}
+    right = sum(got[k] == ("allow" if k % 2 else "block") for k in range(600, 800))
+    assert right >= 195

@@ -29,10 +29,18 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def others(df: DataFrame, results) -> list[Column]:
-    """The columns in _row (see row_of) that no result replaces, under their own names."""
+def carried(df: DataFrame) -> list[Column]:
+    """All columns by number, so that an operator can use any other name within; see with_results()."""
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
+
+
+def with_results(rows: DataFrame, docs: DataFrame, results: dict[str, Column]) -> DataFrame:
+    """The columns of `docs`, carried() by `rows`, and the results, which replace those of their names."""
     taken = {r.lower() for r in results}
-    return [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in taken]
+    # Results first: beside columns of the same names, Spark may take these for what the results are made of.
+    out = rows.select(*(f"_c{i}" for i in range(len(docs.columns))), F.struct(*(v.alias(k) for k, v in results.items())).alias("_out"))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in taken),
+                      *(F.col("_out").getField(k).alias(k) for k in results))
 
 
 def let(value: Column, body) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm.bloom import filter_bits, holds, positions, seen
-from gantry.llm.common import SPACE, let, others, read, row_of, saved, whole_text
+from gantry.llm.common import SPACE, carried, let, read, saved, whole_text, with_results
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     """`docs` with the kept lines as text, n_lines and n_dropped."""
     whole = whole_text(text)
     keyed = docs.select(
-        row_of(docs).alias("_row"), F.col(doc_id).isNull().alias("_lone"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_id"),
+        *carried(docs), F.col(doc_id).isNull().alias("_lone"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_id"),
         whole.alias("_text"), F.xxhash64(whole).alias("_text_hash"))
     lost = dropped_lines(keyed.select("_lone", "_id", "_text", "_text_hash"), rules)
     both = keyed.join(lost, ["_lone", "_id", "_text_hash"], "left")
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("dropped")), lambda i: x[i]), "\n")))
     out = {text: kept, "n_lines": F.size(F.split("_text", "\n")).cast("long"),
            "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long")}
-    return both.select(*others(docs, out), *(v.alias(k) for k, v in out.items()))
+    return with_results(both, docs, out)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

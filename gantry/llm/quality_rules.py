@@ -11,7 +11,7 @@ Everything is a DataFrame expression; the only shuffle sums the histograms by la
 Defined results: a null text counts as empty (no words, so it fails the base rules); a null or
 unlisted language is compared with the reference over all documents and the words of every listed
 language; repeated rows are judged one by one and alike; an empty table gives an empty result;
-other columns are passed on, and a column named as one of the results is replaced.
+other columns are passed on whatever their names, but one named as a result is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import let, read, whole_text, words
+from gantry.llm.common import carried, let, read, whole_text, with_results, words
 
 #: Common function words by language.
 COMMON_WORDS = {
@@ -208,13 +208,18 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang")
         _shares(common).alias("common"))
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
+           "base_failed", "kept")
+
+
 def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: DataFrame | None = None,
           text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with its counts, distances, base_failed and kept."""
     refs = references if references is not None else language_references(docs, text, lang)
     # Bounded: one row per listed language and one more.
     refs = F.broadcast(refs.select(*(F.col(c).alias(f"_ref_{c}") for c in ("language", "chars", "common"))))
-    own = _parts(docs, text, lang).join(refs, F.col("_l") == F.col("_ref_language"), "left").withColumns({
+    narrow = docs.select(*dict.fromkeys((text, lang)), *carried(docs))
+    own = _parts(narrow, text, lang).join(refs, F.col("_l") == F.col("_ref_language"), "left").withColumns({
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.col("_wc").cast("long"),
         "n_symbols": _left(F.col("_r"), SYMBOLS).cast("long"),
@@ -230,9 +235,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), references: Dat
         (F.col("word_distance") > rules.max_word_distance)
         & (beyond > rules.word_noise * word_noise(F.col("_ref_common"), F.col("n_words")))
         & (F.col("n_words") >= rules.min_common_words))
-    return own.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop(
-        "_t", "_l", "_w", "_wc", "_r", "_ref_language", "_ref_chars", "_ref_common")
+    own = own.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))
+    return with_results(own, docs, {c: F.col(c) for c in RESULTS})
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

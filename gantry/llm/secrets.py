@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import let, read, whole_text
+from gantry.llm.common import carried, let, read, whole_text, with_results
 
 #: The patterns of the base kinds, in the order in which spans are listed.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -162,16 +162,14 @@ def find_secrets(docs: DataFrame, table: list[float] | None = None, rules: Secre
         score = F.aggregate(F.transform(_pairs(run), lambda p: F.element_at(model, p + 1)), F.lit(0.0), lambda acc, x: acc + x)
         return run.rlike("[A-Za-z]") & let(score, lambda s: (s >= rules.min_ratio) & (s >= rules.min_mean * F.length(run)))
 
-    own = docs.withColumn("_t", whole_text(text))
+    own = docs.select(*carried(docs), whole_text(text).alias("_t"))
     own = own.withColumn("_base", F.sort_array(base_spans(F.col("_t"), rules)))
     run = f"[A-Za-z0-9+/_=-]{{{rules.min_run},}}"
     none = F.array().cast(f"array<{SPAN}>")
     extra = F.when(F.col("_t").rlike(run), located(F.col("_t"), run, "random", random)).otherwise(none)
     own = own.withColumn("_added", F.filter(extra, lambda s: ~F.exists(
         "_base", lambda b: (b.start < s.stop) & (s.start < b.stop))))
-    out = {"base": F.col("_base"), "added": F.col("_added")}
-    names = [c for c in docs.columns if c not in out]
-    return own.select(*names, *(v.alias(k) for k, v in out.items()))
+    return with_results(own, docs, {"base": F.col("_base"), "added": F.col("_added")})
 
 
 def _told(spans: Column) -> Column:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import others, read, row_of, saved, whole_text
+from gantry.llm.common import carried, read, saved, whole_text, with_results
 from gantry.llm.near_dedup import mixed, word_hashes
 
 #: Odd multipliers of the two rolling hashes.
@@ -183,7 +183,7 @@ def dedup_passages(docs: DataFrame, rules: PassageRules = PassageRules(), text:
     """`docs` with the kept words, joined by blanks, as text; n_words and n_removed."""
     whole = whole_text(text)
     keyed = docs.select(
-        row_of(docs).alias("_row"), F.col(doc_id).isNull().alias("_lone"),
+        *carried(docs), F.col(doc_id).isNull().alias("_lone"),
         F.coalesce(F.col(doc_id), F.xxhash64(whole)).alias("_id"), F.xxhash64(whole).alias("_text_hash"), whole.alias("_text"))
     lost = repeated(keyed.select(*ROW, "_text"), rules)
 
@@ -206,7 +206,7 @@ def dedup_passages(docs: DataFrame, rules: PassageRules = PassageRules(), text:
         return pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
 
     both = keyed.join(lost, ROW, "left").withColumn("_cut", cut("_text", "starts", "counts"))
-    return both.select(*others(docs, (text, "n_words", "n_removed")), F.col("_cut.text").alias(text), "_cut.n_words", "_cut.n_removed")
+    return with_results(both, docs, {text: F.col("_cut.text"), "n_words": F.col("_cut.n_words"), "n_removed": F.col("_cut.n_removed")})
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

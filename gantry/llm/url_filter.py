@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import let, others, read, row_of
+from gantry.llm.common import carried, let, read, with_results
 from gantry.llm.line_dedup import LOWER, UPPER
 from gantry.llm.near_dedup import mixed
 
@@ -236,14 +236,14 @@ def scored(rows: DataFrame, judge: Judge, text: str) -> DataFrame:
 
 def judged(pages: DataFrame, rules: UrlRules = UrlRules(), url: str = "url") -> DataFrame:
     """`pages` with host, path, rule and verdict."""
-    ruled = with_rule(pages.select(F.col(url), row_of(pages).alias("_row")), rules, url)
+    ruled = with_rule(pages.select(F.col(url), *carried(pages)), rules, url)
     judge = fitted(ruled, rules, url)
     verdict = F.lit("allow")
     if judge is not None:
         ruled = scored(ruled.withColumn("_told", told(F.col(url))), judge, "_told")
         verdict = F.when(F.col("_ratio") >= judge.threshold, "allow").otherwise("block")
     out = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("_ruled", verdict)}
-    return ruled.select(*others(pages, out), *(v.alias(k) for k, v in out.items()))
+    return with_results(ruled, pages, out)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

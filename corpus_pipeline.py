@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm.common import read, saved
+from gantry.llm.common import read, row_of, saved
 from gantry.llm.decontamination import decontaminated
 from gantry.llm.line_dedup import dedup_lines
 from gantry.llm.near_dedup import first_of_classes
@@ -15,15 +15,15 @@ from gantry.llm.quality_rules import judge
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    # A name of its own, so that a column of the documents named alike stays what it is.
-    verdict = judge(docs.select("*", F.struct(*docs.columns).alias("_document")))
+    # In one struct, so that a column of the documents named as a result stays what it is.
+    verdict = judge(docs.select("text", "lang", row_of(docs).alias("_document")))
     return verdict.filter("kept").select("_document.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; n_chars follows the text."""
-    left = dedup_lines(docs.select("*", F.struct(*docs.columns).alias("_document")))
-    names = {c: F.col(f"_document.{c}") for c in docs.columns} | {"text": F.col("text")}
+    left = dedup_lines(docs.select("doc_id", "text", row_of(docs).alias("_document")))
+    names = {c: F.col("_document").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in names:
         names["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return left.select(*(v.alias(k) for k, v in names.items()))

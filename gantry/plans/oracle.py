@@ -383,6 +383,8 @@ def queries_sql() -> dict[str, str]:
     out["s_new_vehicles"] = out["new_vehicles"]
     out["s_new_vehicles_ttl"] = out["new_vehicles_ttl"]
     out["s_accidents"] = out["accident_signals"]
+    out["s_accidents_by_segment"] = out["segment_accidents_by_segment"]
+    out["s_segment_lav_compat"] = out["segment_lav_compat"]
     out["s_notifications"] = out["notifications"]
     out["s_replay"] = sql("""
         select cast(floor(simulated_time / 2400) as int) as batch, count(*) as n,

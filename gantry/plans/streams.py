@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry import sources as IO
@@ -283,6 +284,31 @@ def _restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stale_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average velocities where a minute stays until the one past its history has reports."""
+    r = replay(spark, sf_dir)
+    root = scratch_dir(spark, "stale")
+    rules = SegmentRules(lav_keep_stale=True)
+    history = SG.segment_history(r.report_stream(), rules)
+    SK.finish(SK.to_files(history, f"{root}/history", f"{root}/checkpoint"))
+    told = spark.read.schema(history.schema).parquet(f"{root}/history")
+    return SG.serving_stats(r.minutes, told, rules).select("xway", "seg", "minute", F.round("lav", 6).alias("lav"))
+
+
+def _accidents_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accidents where leaving the segment does not end a stop, each from its start on."""
+    r = replay(spark, sf_dir)
+    root = scratch_dir(spark, "by_segment")
+    rules = SegmentRules(stop_scope="segment")
+    events = SG.vehicle_events(r.report_stream(), rules)
+    SK.finish(SK.to_files(events, f"{root}/events", f"{root}/checkpoint"))
+    changes = SG.accident_changes(SO.table_stream(spark, f"{root}/events", events.schema), rules)
+    SK.finish(SK.to_files(changes, f"{root}/changes", f"{root}/changes-checkpoint"))
+    found = spark.read.schema(changes.schema).parquet(f"{root}/changes").filter("is_new is not null")
+    ended = F.lead("t").over(W.partitionBy("xway", "seg").orderBy("t"))
+    return found.withColumn("t1", ended).filter("is_new").select("xway", "seg", F.col("t").alias("t0"), "t1")
+
+
 def _sent(sent: DataFrame) -> DataFrame:
     """Output rows of either kind without their emission time."""
     kind, vid, report, _, x, y = sent.columns
@@ -352,11 +378,13 @@ def stream_queries() -> dict[str, Query]:
         "s_metrics": _metrics,
         "s_minute_stats": _minute_stats,
         "s_segment_stats": _segment_stats,
+        "s_segment_lav_compat": _stale_stats,
         "s_new_vehicles": _new_vehicles,
         "s_new_vehicles_ttl": _new_vehicles_ttl,
         "s_vehicles_in_state": _vehicles_in_state,
         "s_stops_in_state": _stops_in_state,
         "s_accidents": _accidents,
+        "s_accidents_by_segment": _accidents_by_segment,
         "s_notifications": _notifications,
         "s_late": _late,
         "s_late_updates": _late_updates,

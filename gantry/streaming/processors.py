@@ -111,8 +111,8 @@ class VehicleTracker(StatefulProcessor):
     """
 
     def __init__(self, rules: SegmentRules):
-        if rules.stop_scope != "vehicle" or rules.pair_gap is not None:
-            raise ValueError("streams follow a stop until the vehicle's next report elsewhere")
+        if rules.pair_gap is not None:
+            raise ValueError("whether a silence ends a stop is known only when the vehicle has moved on")
         self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -247,6 +247,71 @@ class AccidentTracker(InOrder):
         self.crashes.update((places,))
 
 
+class StaleMinutes(StatefulProcessor):
+    """Per segment: the average velocity where a minute leaves the history only when the minute just
+    past it has reports.
+
+    Takes a segment's minutes as they close and tells the average as each following minute begins,
+    until it can change no more without new reports. Of minutes that will stay for good only sum and
+    number are kept, so the state has no more minutes than the history.
+    """
+
+    def __init__(self, rules: SegmentRules):
+        self.past = rules.lav_minutes + 1
+        self.row = Row(*rules.segment_cols, "minute", "lav", "nov")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState(
+            "kept", "told int, last int, n bigint, total double, count int, minutes array<int>, means array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._load()
+        for r in sorted(rows, key=attrgetter("minute")):
+            yield from self._tell(key, r.minute)
+            self._add(r)
+        yield from self._until(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Minutes that have begun without reports in the minute before."""
+        self._load()
+        yield from self._until(key, timerValues.getCurrentWatermarkInMs())
+
+    def _until(self, key, watermark: int) -> Iterator[Row]:
+        """Tell what the watermark has reached, in the batch in which other segments' minutes close."""
+        yield from self._tell(key, (watermark // 1000 - BASE_EPOCH) // 60 + 1)
+        self.state.update((
+            self.told, self.last, self.n, self.total, self.count, list(self.kept), list(self.kept.values())))
+        if self.told <= self.last + self.past:
+            self.handle.registerTimer(_ms(self.told * 60) - 1)
+
+    def _add(self, r: Row) -> None:
+        self.kept.pop(r.minute - self.past, None)
+        for m in [m for m in self.kept if m + self.past < r.minute]:
+            self.total, self.count = self.total + self.kept.pop(m), self.count + 1
+        self.kept[r.minute] = r.a
+        self.told = self.last = r.minute
+        self.n = r.n
+
+    def _tell(self, key, until: int) -> Iterator[Row]:
+        if self.last is None:
+            return
+        for minute in range(self.told + 1, min(until, self.last + self.past + 1) + 1):
+            means = [a for m, a in self.kept.items() if m != minute - self.past]
+            count = self.count + len(means)
+            lav = (self.total + sum(means)) / count if count else 0.0
+            yield self.row(*key, minute, lav, self.n if minute == self.last + 1 else 0)
+            self.told = minute
+
+    def _load(self) -> None:
+        self.told, self.last, self.n, self.total, self.count, minutes, means = (
+            self.state.get() if self.state.exists() else (None, None, 0, 0.0, 0, [], []))
+        self.kept = {int(m): float(a) for m, a in zip(minutes, means)}
+
+    def close(self) -> None:
+        pass
+
+
 class Notifier(InOrder):
     """Per segment (and share of its vehicles): entries meet the segment's toll and accidents."""
 
@@ -280,7 +345,9 @@ class Notifier(InOrder):
                 self.ahead.updateValue((r.source,), (r.t,))
             elif r.kind == ENTERED:
                 minute = r.t // 60 + 1
-                _, lav, toll = stats if stats and stats[0] == minute else (minute, 0, 0)
+                # With stale minutes what was told last holds until something else is told.
+                holds = stats and (stats[0] == minute or self.rules.lav_keep_stale)
+                _, lav, toll = stats if holds else (minute, 0, 0)
                 known = [
                     t0 for t0 in ahead.values()
                     if minute >= t0 // 60 + 1 + self.rules.notice_delay_minutes

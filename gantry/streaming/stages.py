@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gantry import functions as G
@@ -58,7 +60,7 @@ def _stretches(starts: str, fields) -> F.Column:
     return F.transform(starts, stretch)
 
 
-def _window_summary(complete: DataFrame, rules: SegmentRules) -> DataFrame:
+def _window_summary(complete: DataFrame, rules: SegmentRules, keys: list[str]) -> DataFrame:
     """One row for the reports of a vehicle in a window: its visits of segments and its runs.
 
     A visit has its first report and its last second. Of the runs of reports from one place only those
@@ -88,7 +90,7 @@ def _window_summary(complete: DataFrame, rules: SegmentRules) -> DataFrame:
         .withColumn("visit_starts", _starts(rules.segment_cols, gap))
         .withColumn("run_starts", _starts([*rules.segment_cols, "pos"]))
         .select(
-            "vid", "t", F.flatten(_stretches("visit_starts", visit)).alias("visits"),
+            *keys, "t", F.flatten(_stretches("visit_starts", visit)).alias("visits"),
             F.flatten(F.filter(_stretches("run_starts", run),
                                lambda r: (r[0] == 0) | (r[last] < 0) | (r[mark] >= 0))).alias("runs"),
             F.flatten(heads).alias("heads"))
@@ -106,19 +108,34 @@ def vehicle_events(
     reports itself. Lists are summed up where they are built: the tracker gets a row per vehicle and
     window, not one per report. With each closed window of the whole feed goes a row of no vehicle,
     which tells the later stages how far events are complete, whether or not any vehicle stops.
+
+    Where leaving the segment does not end a stop, stops are followed per vehicle and segment, beside
+    the entries.
     """
+    if rules.stop_scope == "segment":
+        whole = replace(rules, stop_scope="vehicle")
+        alone = replace(whole, entry_mode="crossing", vehicle_ttl=None)
+        entries = _tracked(reports, whole, delay, pace).filter(F.col("kind").isin(PR.ENTRY, PR.HEARTBEAT))
+        stops = _tracked(reports, alone, delay, pace, rules.segment_cols)
+        return entries.unionByName(stops.filter(F.col("kind").isin(PR.STOP, PR.MOVE)))
+    return _tracked(reports, rules, delay, pace)
+
+
+def _tracked(reports: DataFrame, rules: SegmentRules, delay: str, pace: str, within: list[str] = ()) -> DataFrame:
+    """Events of each vehicle, or of what it does within each of the columns `within`."""
+    keys = ["vid", *within]
     report = F.struct("t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms")
     nobody = F.col("who") == NOBODY
     complete = (
         in_event_time(positions(reports), delay)
         .withColumnRenamed("simulated_time", "t")
         .withColumn("who", F.explode(F.array_distinct(F.array("vid", F.lit(NOBODY)))))
-        .groupBy(F.window("ts", pace).alias("w"), "who")
+        .groupBy(F.window("ts", pace).alias("w"), "who", *within)
         .agg(F.collect_list(F.when(~nobody, report)).alias("reports"))
-        .select(F.col("who").alias("vid"), (_second("w.end") - 1).alias("t"),
+        .select(F.col("who").alias("vid"), *within, (_second("w.end") - 1).alias("t"),
                 _one_per_second(F.col("reports")).alias("reports"))
     )
-    return _window_summary(complete, rules).groupBy("vid").transformWithState(
+    return _window_summary(complete, rules, keys).groupBy(*keys).transformWithState(
         PR.VehicleTracker(rules), PR.EVENTS, "append",
         "none" if rules.vehicle_ttl is None else "eventTime",
     )
@@ -224,10 +241,11 @@ def segment_history(
 ) -> DataFrame:
     """LAV, NOV and toll of each segment as a minute begins: over the minutes that end then.
 
-    A row for every minute with reports in the history before it; without a row all are 0.
+    A row for every minute with reports in the history before it; without a row all are 0. With
+    `lav_keep_stale` a row holds until the segment's next one.
     """
     if rules.lav_keep_stale:
-        raise ValueError("streams forget a minute once it has left the history")
+        return _stale_history(reports, rules, delay)
     ends = F.col("w.end")
     is_last = F.unix_timestamp("m") + 60 == F.unix_timestamp(ends)
     history = (
@@ -255,6 +273,15 @@ def segment_history(
     )
 
 
+def _stale_history(reports: DataFrame, rules: SegmentRules, delay: str) -> DataFrame:
+    seg = rules.segment_cols
+    columns = ", ".join(f"{c} int" for c in [*seg, "minute"])
+    told = with_minute(minute_stats(reports, rules, delay)).groupBy(*seg).transformWithState(
+        PR.StaleMinutes(rules), f"{columns}, lav double, nov bigint", "append", "eventTime")
+    lav = F.round("lav", LAV_DIGITS)
+    return told.select(*seg, "minute", lav.alias("lav"), "nov", G.toll_of(lav, F.col("nov"), rules).alias("toll"))
+
+
 def accident_changes(
     events: DataFrame, rules: SegmentRules = DEFAULT_RULES, delay: str = IN_ORDER
 ) -> DataFrame:
@@ -319,9 +346,15 @@ def notices(
 
 def serving_stats(minutes: DataFrame, history: DataFrame, rules: SegmentRules = DEFAULT_RULES):
     """Statistics of the minutes with reports, from the tables the two statistics queries write."""
-    keys = [*rules.segment_cols, "minute"]
-    return minutes.select(*keys).join(history, keys, "left").select(
-        *keys, F.coalesce("lav", F.lit(0.0)).alias("lav"), F.coalesce("nov", F.lit(0)).alias("nov"),
+    seg = rules.segment_cols
+    served = F.col("minute")
+    if rules.lav_keep_stale:
+        # The last row that was told for a segment: it follows from when the segment last had reports.
+        before = F.lag("minute").over(W.partitionBy(*seg).orderBy("minute"))
+        served = F.least("minute", before + rules.lav_minutes + 2)
+    asked = minutes.select(*seg, "minute", served.alias("served"))
+    return asked.join(history.withColumnRenamed("minute", "served"), [*seg, "served"], "left").select(
+        *seg, "minute", F.coalesce("lav", F.lit(0.0)).alias("lav"), F.coalesce("nov", F.lit(0)).alias("nov"),
         F.coalesce("toll", F.lit(0)).alias("toll"),
     )
 

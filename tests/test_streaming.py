@@ -55,6 +55,9 @@ class Feed:
 @pytest.mark.parametrize("options", [
     {"entry_mode": "crossing", "direction_aware": True, "stop_reports": 3},
     {"vehicle_ttl": 120, "notice_delay_minutes": 1, "stop_reports": 2, "lav_minutes": 3},
+    {"stop_scope": "segment", "stop_reports": 2, "lav_keep_stale": True, "lav_minutes": 1},
+    {"stop_scope": "segment", "entry_mode": "crossing", "direction_aware": True, "stop_reports": 2,
+     "lav_keep_stale": True, "lav_minutes": 2},
 ])
 def test_notices(spark, options):
     reports = traffic(5)
@@ -235,9 +238,7 @@ def test_disorder_within_the_delay(spark):
 
 def test_unsupported_options_are_refused():
     with pytest.raises(ValueError):
-        PR.VehicleTracker(SegmentRules(stop_scope="segment"))
-    with pytest.raises(ValueError):
-        SG.segment_history(None, SegmentRules(lav_keep_stale=True))
+        PR.VehicleTracker(SegmentRules(pair_gap=30))
     with pytest.raises(ValueError):
         SegmentRules(entry_mode="any")
 

@@ -20,7 +20,9 @@ from (
     case when stopped = 1 then 1 else (vid + tick) % 5 end as lane
   from (
     select *,
-      case when vid % 25 in (0, 1) and tick % 40 between 5 and 14 then 1 else 0 end as stopped,
+      case when vid % 25 in (0, 1) and tick % 40 between 5 and 14 or vid % 25 = 2 and tick % 40 between 7 and 16
+             or vid % 25 in (5, 6) and tick % 40 between 25 and 30 or vid % 25 in (7, 8) and tick >= 350
+           then 1 else 0 end as stopped,
       cast(floor(vid / 100) as int) as xway, cast(floor(vid / 25) as int) % 2 as dir
     from (
       select case when l_linenumber = 7 then 2 else 0 end as type,

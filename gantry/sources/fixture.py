@@ -10,7 +10,8 @@ def reports_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report per (type, supplier, tick); a supplier drives, a tick is 20 s.
 
     Three of four vehicles travel as a platoon, the others change segment at staggered times, and
-    vehicles 0 and 1 of every 25 stop side by side in ticks 5..14 of every 40.
+    of every 25 some stop side by side: 0 and 1 in ticks 5..14 of every 40, later joined by 2; 5 and 6
+    so briefly that an accident may begin and end within a minute; 7 and 8 from tick 350 to the end.
     """
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.when(F.col("l_linenumber") == 7, 2).otherwise(0).alias("type"),
@@ -19,7 +20,11 @@ def reports_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity",
     )
     vid, tick = F.col("vid"), F.col("tick")
-    stopped = (vid % 25).isin(0, 1) & (tick % 40).between(5, 14)
+    who, when = vid % 25, tick % 40
+    stopped = (
+        (who.isin(0, 1) & when.between(5, 14)) | ((who == 2) & when.between(7, 16))
+        | (who.isin(5, 6) & when.between(25, 30)) | (who.isin(7, 8) & (tick >= 350))
+    )
     seg = (
         F.when(stopped, F.floor(tick / 40).cast("int") % 10)
         .when(vid % 4 < 3, F.floor(tick / 20).cast("int") % 10)

@@ -243,3 +243,90 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", F.round("char_distance", 9).alias("char_distance"), F.round("word_distance", 9).alias("word_distance"))
+
+
+def _sql(rules: QualityRules = QualityRules()) -> str:
+    """The rules in SQL, with a row per bin instead of arrays."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    def left(others: str) -> str:
+        return f"length(regexp_replace(t, {quoted(others)}, '', 'g'))"
+
+    counted = [left(f"[^{c}]+") for c in CLASSES.values()]
+    vocabulary = ", ".join(f"({quoted(k)}, {quoted(w)})" for k, v in LISTS.items() for w in v)
+    listed = ", ".join(map(quoted, COMMON_WORDS))
+    part = "case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end"
+    divergence = f"sqrt(greatest(0, sum({part.format(a='p', b='q')} + {part.format(a='q', b='p')}) / 2))"
+    noise = (
+        f"sum(case when n_words * q <= {2 ** (NOISE_LOW / 4)!r} then n_words * q else (1 - q) * list_extract({BIN_NOISE!r}, "
+        f"cast(greatest(round(least(4 * log2(n_words * q), {NOISE_HIGH})) - {NOISE_LOW} + 1, 1) as int)) end)")
+    share = "case when sum(n) over g > 0 then n / sum(n) over g else 0.0 end"
+    return f"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t,
+         case when lang in ({listed}) then lang else '' end as l from documents),
+tokens as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
+c as (
+  select r, doc_id, t, l, len(w) as n_words, length(array_to_string(w, '')) as word_chars, {left(SYMBOLS)} as n_symbols
+  from tokens),
+words as (select r, unnest(w) as word, generate_subscripts(w, 1) as i from tokens),
+grams as (
+  select r, i, string_agg(word, ' ') over g as k from words
+  window g as (partition by r order by i rows between current row and {rules.gram - 1} following)
+  qualify count(*) over g = {rules.gram}),
+again as (select r, i from grams qualify count(*) over (partition by r, k) > 1),
+repeats as (
+  select r, count(*) filter (i - since < {rules.gram}) as n_repeat_words from (
+    select w.r, w.i, max(a.i) over (partition by w.r order by w.i rows between unbounded preceding and current row) as since
+    from words w left join again a on a.r = w.r and a.i = w.i) s group by r),
+dup_lines as (
+  select r, count(*) - count(distinct line) as n_dup_lines
+  from (select r, unnest(string_split(t, chr(10))) as line from d) s
+  where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+vocabulary(l, bin) as (values {vocabulary}),
+languages as (select distinct l from vocabulary),
+char_lists as (select r, l, [length(t) - word_chars, {', '.join(counted)}] as x, length(t) as n from c),
+char_bins as (
+  select r, l, unnest(list_append(x, n - list_sum(x))) as n, unnest(range({len(CLASSES) + 2})) as bin from char_lists),
+found as (select r, word as bin, count(*) as n from words group by 1, 2),
+known as (
+  select c.r, c.l, v.bin, coalesce(f.n, 0) as n
+  from c join vocabulary v on v.l = c.l left join found f on f.r = c.r and f.bin = v.bin),
+word_bins as (
+  select * from known
+  union all select c.r, c.l, '', any_value(c.n_words) - sum(k.n) from c join known k on k.r = c.r group by c.r, c.l),
+known_all as (
+  select v.l, v.bin, sum(f.n) as n from vocabulary v join c on v.l in ('', c.l) join found f on f.r = c.r and f.bin = v.bin
+  group by 1, 2),
+words_all as (select g.l, sum(n_words) as n from languages g join c on g.l in ('', c.l) group by 1),
+word_sums as (
+  select v.l, v.bin, coalesce(k.n, 0) as n from vocabulary v left join known_all k using (l, bin)
+  union all select a.l, '', a.n - coalesce((select sum(n) from known_all k where k.l = a.l), 0) from words_all a),
+char_sums as (select g.l, bin, sum(n) as n from languages g join char_bins b on g.l in ('', b.l) group by 1, 2),
+char_refs as (select l, bin, {share} as q from char_sums window g as (partition by l)),
+word_refs as (select l, bin, {share} as q from word_sums window g as (partition by l)),
+char_shares as (select r, l, bin, {share} as p from char_bins window g as (partition by r)),
+word_shares as (select r, l, bin, {share} as p from word_bins window g as (partition by r)),
+char_part as (select r, {divergence} as char_distance from char_shares join char_refs using (l, bin) group by r),
+word_part as (
+  select r, {divergence} as word_distance, {noise} as noise
+  from word_shares join word_refs using (l, bin) join c using (r) group by r),
+judged as (
+  select c.*, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+         char_distance, word_distance, noise
+  from c left join repeats using (r) left join dup_lines using (r) join char_part using (r) join word_part using (r)),
+verdicts as (
+  select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed,
+         (char_distance > {rules.max_char_distance} and length(t) >= {rules.min_chars})
+         or (word_distance > {rules.max_word_distance} and n_words >= {rules.min_common_words}
+             and n_words * (word_distance * word_distance - {rules.max_word_distance ** 2!r}) > {rules.word_noise} * noise) as odd
+  from judged)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not odd as kept,
+       round(char_distance, 9) as char_distance, round(word_distance, 9) as word_distance
+from verdicts
+"""
+
+
+OP10_SQL = _sql()

@@ -14,9 +14,9 @@ from gantry.llm.near_dedup import op3_near_dedup
 from gantry.llm.packing import op8_best_fit_packing
 from gantry.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from gantry.llm.quality_classifier import op4_quality_classifier
-from gantry.llm.quality_rules import op10_quality_rules
+from gantry.llm.quality_rules import OP10_SQL, op10_quality_rules
 from gantry.llm.secrets import op2_secret_scans
-from gantry.llm.substring_dedup import op9_substring_dedup
+from gantry.llm.substring_dedup import OP9_SQL, op9_substring_dedup
 from gantry.llm.token_counts import op13_token_counts
 from gantry.llm.url_filter import op7_url_filter
 
@@ -32,6 +32,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_sql() -> dict[str, str]:
     return {
-        "op1_perspective_rotation": OP1_SQL, "op5_line_dedup": OP5_SQL, "op11_importance_resampling": OP11_SQL,
+        "op1_perspective_rotation": OP1_SQL, "op5_line_dedup": OP5_SQL, "op9_substring_dedup": OP9_SQL,
+        "op10_quality_rules": OP10_SQL, "op11_importance_resampling": OP11_SQL,
         "op12_periodic_runs": OP12_SQL,
     }

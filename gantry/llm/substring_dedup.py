@@ -212,3 +212,27 @@ def dedup_passages(docs: DataFrame, rules: PassageRules = PassageRules(), text:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_passages(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: Written from the contract: windows are held by their whole text, words are lost where a lost window began within 50.
+OP9_SQL = """
+with w as (
+  select doc_id, generate_subscripts(l, 1) as i, unnest(l) as word
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as l from documents)),
+windows as (
+  select doc_id, i, md5(string_agg(word, ' ') over w50) as k
+  from w window w50 as (partition by doc_id order by i rows between current row and 49 following)
+  qualify count(*) over w50 = 50),
+starts as (
+  select doc_id, i, doc_id > min(doc_id) over (partition by k) as later from windows),
+marked as (
+  select w.doc_id, w.i, w.word, coalesce(w.i - max(case when s.later then s.i end) over (
+           partition by w.doc_id order by w.i rows between unbounded preceding and current row) < 50, false) as gone
+  from w left join starts s on s.doc_id = w.doc_id and s.i = w.i),
+kept as (
+  select doc_id, count(*) as n, count(*) filter (gone) as gone,
+         string_agg(word, ' ' order by i) filter (not gone) as left_over
+  from marked group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(left_over, '')) as kept_sha256
+from documents d left join kept k on k.doc_id = d.doc_id
+"""

@@ -31,8 +31,8 @@ def encode():
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_ten_operators():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_thirteen_operators():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(llm_sql()) <= set(QUERIES)
 
 

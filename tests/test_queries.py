@@ -29,7 +29,7 @@ def test_query(spark, con, name):
 def test_reports_reach_every_branch(con):
     """Three vehicles in an accident, stops that stay open, both flags in a minute."""
     def count(text, condition):
-        return con.sql(f"select count(*) from ({text}) where {condition}").fetchone()[0]
+        return con.sql(f"select count(*) from ({text}) where {condition}").fetchall()[0][0]
 
     assert count(TEXTS["accident_vehicles"], "involved = 3") > 0
     assert count(TEXTS["stop_intervals"], "t1 is null") > 0

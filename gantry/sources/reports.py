@@ -14,9 +14,19 @@ _INT = "[-+]?[0-9]+"
 _LINE = f"^({_INT},){{9}}{_INT}(,.*)?$"
 
 
+def _split(lines: DataFrame) -> DataFrame:
+    """Each non-blank line and its `parts`, split once.
+
+    The optimizer puts an expression wherever its column is read; behind a generator it is a value, however
+    many fields and conditions read it.
+    """
+    whole = lines.select(F.explode(F.array("value")).alias("value")).filter(F.trim("value") != "")
+    return whole.select("value", F.explode(F.array(F.split(F.trim("value"), ","))).alias("parts"))
+
+
 def _parsed_raw(lines: DataFrame) -> DataFrame:
     """Each non-blank line with its 15 fields; `ok` unless type, time or vehicle is unreadable."""
-    parts = F.split(F.trim(F.col("value")), ",")
+    parts = F.col("parts")
     text = [F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i in range(len(S.RAW_FIELDS))]
     readable = [
         text[S.RAW_FIELDS.index(f)].isNull() | text[S.RAW_FIELDS.index(f)].try_cast("int").isNotNull()
@@ -26,7 +36,7 @@ def _parsed_raw(lines: DataFrame) -> DataFrame:
         F.coalesce(t.try_cast("int"), F.lit(0)).alias(f) for f, t in zip(S.RAW_FIELDS, text)
     ]
     ok = reduce(Column.__and__, readable).alias("ok")
-    return lines.filter(F.trim("value") != "").select("value", ok, *fields)
+    return _split(lines).select("value", ok, *fields)
 
 
 def parse_raw(lines: DataFrame) -> DataFrame:
@@ -74,8 +84,7 @@ def read_wire(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def _parsed(lines: DataFrame) -> DataFrame:
     """Each non-blank line with its first ten fields; `ok` where all of them are numbers."""
-    text = F.trim(F.col("value"))
-    parts = F.split(text, ",")
+    parts = F.col("parts")
     fields = [
         F.get(parts, F.lit(i)).try_cast("long" if f == "wall_ms" else "int").alias(f)
         for i, f in enumerate(S.WIRE_FIELDS[:10])
@@ -86,8 +95,8 @@ def _parsed(lines: DataFrame) -> DataFrame:
     ]
     all_numbers = reduce(Column.__and__, [F.col(f).isNotNull() for f in S.WIRE_FIELDS[:10]])
     return (
-        lines.filter(text != "")
-        .select("value", text.rlike(_LINE).alias("shaped"), *fields, *more)
+        _split(lines)
+        .select("value", F.trim("value").rlike(_LINE).alias("shaped"), *fields, *more)
         .withColumn("ok", F.col("shaped") & all_numbers)
     )
 

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from gantry import sources as IO
 from gantry.operators import positions as P
@@ -91,3 +92,11 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         scratch_dir(Session(), "x")
+
+
+def test_lines_are_made_and_split_once(spark):
+    """However many fields and conditions read them; a plan that repeats the text for each does so per line."""
+    lines = spark.range(3).select(F.concat_ws(",", *[F.col("id")] * 15).alias("value"))
+    for read in (IO.parse_wire, IO.quarantine, IO.parse_raw, IO.quarantine_raw):
+        plan = read(lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("concat_ws(") == 1

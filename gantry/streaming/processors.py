@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 from itertools import groupby
 from operator import attrgetter
@@ -40,27 +41,39 @@ def _ms(t: int) -> int:
     return (BASE_EPOCH + t) * 1000
 
 
-def _records(flat, names: list[str]) -> Iterator[dict]:
-    values = [int(x) for x in flat]
+def _numbers(text: str) -> list[int | None]:
+    """The numbers of a `packed` column; null where one is empty."""
+    return [int(x) if x else None for x in text.split(",")] if text else []
+
+
+def _records(values: list[int], names: list[str]) -> Iterator[dict]:
     for i in range(0, len(values), len(names)):
         yield dict(zip(names, values[i:i + len(names)]))
 
 
+def _ints(values) -> list[int]:
+    return [int(x) for x in values]
+
+
 def _known(wall_ms: int) -> int | None:
     """The time a report was sent; -1 stands for none."""
     return None if wall_ms < 0 else int(wall_ms)
 
 
 class InOrder(StatefulProcessor):
-    """Keeps a key's rows until the watermark has passed them, then hands them on by time."""
+    """Keeps a key's rows until the watermark has passed them, then hands them on by time.
 
-    layout: str  # columns that are kept, with `t` among them
+    Rows come as `t` and `packed`, the columns of `layout` in one text, and stay packed until their time has
+    come. All rows of a batch are one element of the state: each call to the store, and each value that
+    crosses to Python, costs more than the work on a row.
+    """
+
+    layout: list[str]  # columns that are kept, all whole numbers, with `t` among them
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.layout)
-        self.names = [c.split()[0] for c in self.layout.split(", ")]
-        self.row = Row(*self.names)
+        self.waiting = handle.getListState("waiting", "rows string")
+        self.row = namedtuple("Kept", self.layout)
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -70,30 +83,32 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        kept = [tuple(getattr(r, n) for n in self.names) for r in rows]
+        first, kept = None, []
+        for r in rows:
+            kept.append(r.packed)
+            first = r.t if first is None else min(first, r.t)
         if kept:
-            self.waiting.appendList(kept)
-            self._wake(kept, timerValues.getCurrentWatermarkInMs())
+            self.waiting.appendValue(("\n".join(kept),))
+            self._wake(first, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Everything the watermark has passed is complete, whichever timer tells."""
         until = timerValues.getCurrentWatermarkInMs()
-        rows = [self.row(*r) for r in self.waiting.get()]
+        rows = [self.row(*_numbers(line)) for (text,) in self.waiting.get() for line in text.split("\n")]
         ready = [r for r in rows if _ms(r.t) <= until]
         if not ready:
             return
-        rest = [tuple(r) for r in rows if _ms(r.t) > until]
+        rest = [r for r in rows if _ms(r.t) > until]
         if rest:
-            self.waiting.put(rest)
-            self._wake(rest, until)
+            self.waiting.put([("\n".join(",".join("" if x is None else str(x) for x in r) for r in rest),)])
+            self._wake(min(r.t for r in rest), until)
         else:
             self.waiting.clear()
         yield from self.advance(key, sorted(ready, key=self.order))
 
-    def _wake(self, rows: list[tuple], watermark: int) -> None:
-        place = self.names.index("t")
-        self.handle.registerTimer(max(_ms(min(r[place] for r in rows)), watermark) + 1)
+    def _wake(self, t: int, watermark: int) -> None:
+        self.handle.registerTimer(max(_ms(t), watermark) + 1)
 
     def order(self, row: Row):
         return row.t
@@ -132,9 +147,10 @@ class VehicleTracker(StatefulProcessor):
         # One read and one write of the state a batch: each call to the store costs more than the rows.
         self.seen = {(x, d, g): t for x, d, g, t in zip(*[iter(map(int, seen))] * 4)}
         for w in windows:
-            yield from self._entries(vid, w.visits, last)
-            for run in _records(w.runs, RUN):
-                events, last = self._run(vid, run, w.heads, last)
+            heads = _numbers(w.heads)
+            yield from self._entries(vid, _numbers(w.visits), last)
+            for run in _records(_numbers(w.runs), RUN):
+                events, last = self._run(vid, run, heads, last)
                 yield from events
         if last:
             self.seen[self._segment(*last[1:4])] = last[0]
@@ -218,16 +234,17 @@ class VehicleTracker(StatefulProcessor):
 class AccidentTracker(InOrder):
     """Per segment: from how many vehicles stand at each place to one accident state."""
 
-    layout = "t int, kind int, lane int, pos int"
+    layout = ["t", "kind", "lane", "pos"]
 
     def open(self, handle):
-        self.standing = handle.getMapState("standing", "lane int, pos int", "n int")
-        self.crashes = handle.getValueState("crashes", "places int")
+        self.standing = handle.getValueState("standing", "lane array<int>, pos array<int>, n array<int>")
 
     def advance(self, key, rows):
         out = Row("kind", "xway", "dir", "seg", "t", "is_new")
         xway, direction, seg = key
-        places = self.crashes.get()[0] if self.crashes.exists() else 0
+        # One read and one write of all places where somebody stands.
+        standing = {(lane, pos): n for lane, pos, n in zip(*map(_ints, self.standing.get() or ([], [], [])))}
+        places = sum(n >= 2 for n in standing.values())
         for t, now in groupby(rows, key=attrgetter("t")):
             had = places
             for r in now:
@@ -235,16 +252,15 @@ class AccidentTracker(InOrder):
                     yield out(HEARTBEAT, xway, direction, seg, t, None)
                     continue
                 place = (r.lane, r.pos)
-                n = self.standing.getValue(place)[0] if self.standing.containsKey(place) else 0
+                n = standing.pop(place, 0)
                 m = n + (1 if r.kind == STOP else -1)
                 places += (m >= 2) - (n >= 2)
                 if m:
-                    self.standing.updateValue(place, (m,))
-                else:
-                    self.standing.removeKey(place)
+                    standing[place] = m
             if (places > 0) != (had > 0):
                 yield out(STOP if places else MOVE, xway, direction, seg, t, places > 0)
-        self.crashes.update((places,))
+        lanes, spots = zip(*standing) if standing else ((), ())
+        self.standing.update((list(lanes), list(spots), list(standing.values())))
 
 
 class StaleMinutes(StatefulProcessor):
@@ -315,34 +331,30 @@ class StaleMinutes(StatefulProcessor):
 class Notifier(InOrder):
     """Per segment (and share of its vehicles): entries meet the segment's toll and accidents."""
 
-    layout = (
-        "t int, kind int, vid int, lane int, seg int, pos int, wall_ms bigint, source int, "
-        "minute int, lav int, toll bigint"
-    )
+    layout = ["t", "kind", "vid", "lane", "seg", "pos", "wall_ms", "source", "minute", "lav", "toll"]
 
     def __init__(self, rules: SegmentRules):
         self.rules = rules
 
     def open(self, handle):
-        self.stats = handle.getValueState("stats", "minute int, lav int, toll bigint")
-        self.ahead = handle.getMapState("ahead", "source int", "t0 int")
+        self.known = handle.getValueState(
+            "known", "minute int, lav int, toll bigint, sources array<int>, starts array<int>")
 
     def order(self, row):
         return row.t, row.kind
 
     def advance(self, key, rows):
         out = Row("kind", "vid", "t", "lav", "toll", "seg", "pos", "report_wall_ms")
-        stats = self.stats.get() if self.stats.exists() else None
-        ahead = {k[0]: v[0] for k, v in self.ahead.iterator()}
+        *stats, sources, starts = self.known.get() or (None, None, None, [], [])
+        stats = None if stats[0] is None else stats
+        ahead = dict(zip(_ints(sources), _ints(starts)))
         for r in rows:
             if r.kind == STATS:
                 stats = (r.minute, r.lav, r.toll)
             elif r.kind == CLEAR:
                 ahead.pop(r.source, None)
-                self.ahead.removeKey((r.source,))
             elif r.kind == START:
                 ahead[r.source] = r.t
-                self.ahead.updateValue((r.source,), (r.t,))
             elif r.kind == ENTERED:
                 minute = r.t // 60 + 1
                 # With stale minutes what was told last holds until something else is told.
@@ -355,5 +367,4 @@ class Notifier(InOrder):
                 yield out(0, r.vid, r.t, lav, 0 if known else toll, None, None, r.wall_ms)
                 if known and r.lane != self.rules.exit_lane:
                     yield out(1, r.vid, r.t, None, None, r.seg, r.pos, r.wall_ms)
-        if stats:
-            self.stats.update(stats)
+        self.known.update((*(stats or (None, None, None)), list(ahead), list(ahead.values())))

@@ -108,9 +108,11 @@ def append_slice(
     """Append the reports as `files` files: what a slice lacks in rows it gets in empty lines, so that
     a stream with as many files per trigger takes just one slice at a time."""
     lines = to_wire(reports, wall_base_ms)
-    # One partition of `files` rows is dealt out as one row to each file.
-    blank = reports.sparkSession.range(0, files, 1, 1).select(F.lit("").alias("value"))
-    lines.unionByName(blank).repartition(files).write.mode("append").text(path)
+    lines = lines.withColumn("file", F.pmod(F.hash("value"), F.lit(files)))
+    blank = reports.sparkSession.range(files).select(F.lit("").alias("value"), F.col("id").cast("int").alias("file"))
+    # Rows that are dealt out in turn would be sorted before, so that a repeated task deals alike.
+    dealt = lines.unionByName(blank).repartitionById(files, "file")
+    dealt.select("value").write.mode("append").text(path)
 
 
 def close_feed(spark: SparkSession, path: str, last: int, spacing: int = 86400, files: int = 1) -> None:

@@ -45,6 +45,16 @@ def _starts(same, gap: int | None = None) -> F.Column:
     return F.when(F.size("reports") > 0, places).otherwise(F.array().cast("array<int>"))
 
 
+def _packed(numbers) -> F.Column:
+    """An array of whole numbers as one text: an array reaches Python element by element, a text whole."""
+    return F.array_join(numbers.cast("array<string>"), ",", "")
+
+
+def _kept(columns: list[str]) -> F.Column:
+    """The columns that an ordered processor keeps, packed."""
+    return _packed(F.array(*[F.col(c).cast("long") for c in columns])).alias("packed")
+
+
 def _long(value) -> F.Column:
     """As a long; -1 for null."""
     return F.coalesce(value.cast("long"), F.lit(-1).cast("long"))
@@ -65,8 +75,8 @@ def _window_summary(complete: DataFrame, rules: SegmentRules, keys: list[str]) -
 
     A visit has its first report and its last second. Of the runs of reports from one place only those
     stay that can matter: the window's first and last, which may go on in other windows, and stops;
-    and of the reports those that can be the one that completes a stop. All are flat arrays in the order
-    of the tracker's VISIT, RUN and MARK, as Python reads these fastest.
+    and of the reports those that can be the one that completes a stop. All are flat, packed arrays in the
+    order of the tracker's VISIT, RUN and MARK, as Python reads these fastest.
     """
     need = rules.stop_reports
 
@@ -90,10 +100,10 @@ def _window_summary(complete: DataFrame, rules: SegmentRules, keys: list[str]) -
         .withColumn("visit_starts", _starts(rules.segment_cols, gap))
         .withColumn("run_starts", _starts([*rules.segment_cols, "pos"]))
         .select(
-            *keys, "t", F.flatten(_stretches("visit_starts", visit)).alias("visits"),
-            F.flatten(F.filter(_stretches("run_starts", run),
-                               lambda r: (r[0] == 0) | (r[last] < 0) | (r[mark] >= 0))).alias("runs"),
-            F.flatten(heads).alias("heads"))
+            *keys, "t", _packed(F.flatten(_stretches("visit_starts", visit))).alias("visits"),
+            _packed(F.flatten(F.filter(_stretches("run_starts", run),
+                                       lambda r: (r[0] == 0) | (r[last] < 0) | (r[mark] >= 0)))).alias("runs"),
+            _packed(F.flatten(heads)).alias("heads"))
     )
 
 
@@ -291,9 +301,9 @@ def accident_changes(
     if not rules.direction_aware:
         stops = stops.withColumn("dir", F.lit(0))
     beat = F.col("kind") == PR.HEARTBEAT
-    return in_event_time(stops, delay, "t", beat).groupBy("xway", "dir", "seg").transformWithState(
-        PR.AccidentTracker(), PR.SIGNALS, "append", "eventTime"
-    )
+    keys = ["xway", "dir", "seg"]
+    packed = in_event_time(stops, delay, "t", beat).select(*keys, "ts", "t", _kept(PR.AccidentTracker.layout))
+    return packed.groupBy(*keys).transformWithState(PR.AccidentTracker(), PR.SIGNALS, "append", "eventTime")
 
 
 def scope_signals(changes: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
@@ -337,8 +347,9 @@ def notices(
     if not rules.direction_aware:
         both = both.withColumn("dir", F.lit(0))
     # Heartbeats have done their part once the watermark is taken; they belong to no segment.
+    keys = ["xway", "dir", "seg", "share"]
     return (
-        both.groupBy("xway", "dir", "seg", "share")
+        both.select(*keys, "ts", "t", _kept(PR.Notifier.layout)).groupBy(*keys)
         .transformWithState(PR.Notifier(rules), PR.NOTICES, "append", "eventTime")
         .filter(F.col("vid").isNull() | (F.col("vid") != NOWHERE))
     )

@@ -259,3 +259,30 @@ def test_statistics_count_one_report_per_second(spark):
     want = ST.segment_minutes(one_per_second(table(spark, reports)))
     columns = ("xway", "seg", "minute", "a", "n")
     assert rows(got, *columns) == rows(want, *columns) and len(rows(want)) > 10
+
+
+def test_a_batch_waits_as_one_element(spark):
+    """Rows of a key cross to Python packed and wait in one element a batch, not in one each."""
+    root = scratch_dir(spark, "packed")
+    stops = [(PR.STOP, v, 60 * v, 0, 0, 1, 0, 3, 700, 60 * v, None) for v in range(1, 6)]
+    spark.createDataFrame(stops, PR.EVENTS).coalesce(1).write.parquet(f"{root}/events")
+    changes = SG.accident_changes(SO.table_stream(spark, f"{root}/events", spark.read.parquet(f"{root}/events").schema))
+    query = SK.finish(SK.to_files(changes, f"{root}/out", f"{root}/checkpoint"))
+    assert query.recentProgress[0].stateOperators[0].numRowsUpdated == 1
+    out = spark.read.schema(PR.SIGNALS).parquet(f"{root}/out")
+    assert rows(out, "seg", "t", "is_new") == [(3, 120, True)]  # the fifth vehicle's second is not complete
+
+
+def test_many_short_lists_are_not_sorted(spark):
+    """Streams start with room for many groups a task; the session's other jobs keep their own setting."""
+    name, value = SK.MANY_GROUPS
+    before = spark.conf.get(name)
+    root = scratch_dir(spark, "groups")
+    SO.append_slice(table(spark, [REPORT]), f"{root}/feed", files=3)
+    assert spark.read.format("binaryFile").load(f"{root}/feed").filter("length > 0").count() == 3
+    query = SK.to_files(SG.vehicle_events(SO.report_stream(SO.line_stream(spark, f"{root}/feed"))), f"{root}/out", f"{root}/cp")
+    assert spark.conf.get(name) == before != value
+    SK.finish(query)
+    with SK._many_groups(spark):
+        assert spark.conf.get(name) == value
+    assert spark.conf.get(name) == before

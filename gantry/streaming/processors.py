@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import attrgetter
 
 from pyspark.sql import Row
@@ -25,12 +25,8 @@ EVENTS = (
     "t0 int, wall_ms bigint"
 )
 EVENT = Row(*(c.split()[0] for c in EVENTS.split(", ")))
-# Fields of a report, of its place, and of the report that completes a stop, as windows tell them; a
-# record of a run has, besides these, its number in the window, its size and what follows it.
+# Fields of a report in a window's text.
 REPORT = ["t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms"]
-PLACE = ["t", "xway", "dir", "seg", "pos", "wall_ms"]
-MARK = ["t", "speed", "lane", "wall_ms"]
-RUN = ["k", "n", "t_last", "t_next", "wall_next", *PLACE, *(f"mark_{c}" for c in MARK)]
 SIGNALS = "kind int, xway int, dir int, seg int, t int, is_new boolean"
 NOTICES = (
     "kind int, vid int, t int, lav int, toll bigint, seg int, pos int, report_wall_ms bigint"
@@ -46,11 +42,6 @@ def _numbers(text: str) -> list[int | None]:
     return [int(x) if x else None for x in text.split(",")] if text else []
 
 
-def _records(values: list[int], names: list[str]) -> Iterator[dict]:
-    for i in range(0, len(values), len(names)):
-        yield dict(zip(names, values[i:i + len(names)]))
-
-
 def _ints(values) -> list[int]:
     return [int(x) for x in values]
 
@@ -120,21 +111,26 @@ class InOrder(StatefulProcessor):
 class VehicleTracker(StatefulProcessor):
     """Per vehicle: entries into segments, and stops as they begin and end.
 
-    Takes summaries of windows before which no report is missing; the next batch goes on from there. With
-    a TTL, segments in which the vehicle has been silent for longer leave the state: it would be new
-    there anyway. What stays is one row per vehicle, its last report.
+    Takes the texts of windows before which no report is missing, a report a line; the next batch goes on from
+    there. With a TTL, segments in which the vehicle has been silent for longer leave the state: it would be new
+    there anyway. What stays is one row per vehicle, its last report. Where leaving the segment does not end a
+    stop, the last report in each segment stays besides. A window of `pace` seconds in which the watermark lies
+    is still to come.
     """
 
-    def __init__(self, rules: SegmentRules):
+    def __init__(self, rules: SegmentRules, pace: float = 60):
         if rules.pair_gap is not None:
             raise ValueError("whether a silence ends a stop is known only when the vehicle has moved on")
-        self.rules = rules
+        self.rules, self.pace_ms = rules, int(pace * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.trace = handle.getValueState(
             "trace", "t int, xway int, dir int, seg int, pos int, n int, lane int, t0 int, seen array<int>"
         )
+        self.by_segment = self.rules.stop_scope == "segment"
+        if self.by_segment:
+            self.places = handle.getValueState("places", "runs string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         vid, windows = key[0], sorted(rows, key=attrgetter("t"))
@@ -146,49 +142,57 @@ class VehicleTracker(StatefulProcessor):
         last = last if seen else None
         # One read and one write of the state a batch: each call to the store costs more than the rows.
         self.seen = {(x, d, g): t for x, d, g, t in zip(*[iter(map(int, seen))] * 4)}
+        self.runs = self._known_runs()
         for w in windows:
-            heads = _numbers(w.heads)
-            yield from self._entries(vid, _numbers(w.visits), last)
-            for run in _records(_numbers(w.runs), RUN):
-                events, last = self._run(vid, run, heads, last)
-                yield from events
+            reports = [tuple(map(int, line.split(","))) for line in w.reports.split("\n")] if w.reports else []
+            events, last = self._window(vid, sorted(reports), last)
+            yield from events
         if last:
             self.seen[self._segment(*last[1:4])] = last[0]
+            now = timerValues.getCurrentWatermarkInMs()
+            self._forget(self._segment(*last[1:4]), now)
             self._keep(last)
-            if self.rules.vehicle_ttl is not None:
-                self._wake(min(self.seen.values()), timerValues.getCurrentWatermarkInMs())
+            self._wake(last, now)
+
+    def _known_runs(self) -> dict:
+        """The last report in each segment and what it is part of, where stops go on there."""
+        text = self.places.get() if self.by_segment else None
+        runs = zip(*[iter(_numbers(text[0]))] * 8) if text else ()
+        return {self._segment(*r[1:4]): r for r in runs}
 
     def _keep(self, last) -> None:
         self.trace.update((*last, [x for segment, t in self.seen.items() for x in (*segment, t)]))
+        if self.by_segment:
+            self.places.update((",".join("" if x is None else str(x) for x in chain(*self.runs.values())),))
 
-    def _entries(self, vid, visits, last) -> Iterator[Row]:
+    def _window(self, vid, reports: list[tuple], last) -> tuple[list[Row], tuple | None]:
+        """Events of a window's reports, in order of time, and the vehicle's trace after them."""
+        need, runs = self.rules.stop_reports, self.runs
+        events, met, second = [], set(), None
         before, t_before = (self._segment(*last[1:4]), last[0]) if last else (None, None)
-        for v in _records(visits, [*REPORT, "t_last"]):
-            segment = self._segment(v["xway"], v["dir"], v["seg"])
-            if self._enters(segment, before, t_before, v["t"]):
-                yield EVENT(ENTRY, vid, *(v[c] for c in REPORT[:-1]), None, _known(v["wall_ms"]))
-            before, t_before = segment, v["t_last"]
-
-    def _run(self, vid, run: dict, heads, last) -> tuple[list[Row], tuple]:
-        """Events of a run, and the vehicle's trace after it."""
-        events, n, lane, t0 = [], 0, None, None
-        # Only a window's first run can go on from the window before.
-        if run["k"] == 0 and last:
-            place = (*self._segment(run["xway"], run["dir"], run["seg"]), run["pos"])
-            if place == (*self._segment(*last[1:4]), last[4]):
-                n, lane, t0 = last[5:8]
-            elif last[7] is not None:
-                events.append(self._moved(vid, last, run["t"], run["wall_ms"]))
-        need, total = self.rules.stop_reports, n + run["n"]
-        if n < need <= total:
-            at = (need - n - 1) * len(MARK)
-            t, speed, lane, wall = map(int, heads[at:at + len(MARK)] if n else [run[f"mark_{c}"] for c in MARK])
-            t0 = t
-            events.append(EVENT(
-                STOP, vid, t, speed, run["xway"], lane, run["dir"], run["seg"], run["pos"], t0, _known(wall)))
-        last = (run["t_last"], run["xway"], run["dir"], run["seg"], run["pos"], total, lane, t0)
-        if run["t_next"] >= 0 and t0 is not None:
-            events.append(self._moved(vid, last, run["t_next"], run["wall_next"]))
+        for t, speed, xway, lane, direction, seg, pos, wall_ms in reports:
+            if t == second:  # of several reports in a second the least stays
+                continue
+            second, segment = t, self._segment(xway, direction, seg)
+            if self._enters(segment, before, t_before, t):
+                events.append(EVENT(ENTRY, vid, t, speed, xway, lane, direction, seg, pos, None, _known(wall_ms)))
+            run = runs.get(segment) if self.by_segment else last
+            if run and run[4] == pos and (self.by_segment or segment == before):
+                n, stop_lane, t0 = run[5] + 1, run[6], run[7]
+                if segment in met:  # else a window's first report of the run tells its direction
+                    direction = run[2]
+            else:
+                if run and run[7] is not None:
+                    events.append(self._moved(vid, run, t, wall_ms))
+                n, stop_lane, t0 = 1, None, None
+            if n == need:
+                stop_lane, t0 = lane, t
+                events.append(EVENT(STOP, vid, t, speed, xway, lane, direction, seg, pos, t0, _known(wall_ms)))
+            last = (t, xway, direction, seg, pos, n, stop_lane, t0)
+            if self.by_segment:
+                runs[segment] = last
+            met.add(segment)
+            before, t_before = segment, t
         return events, last
 
     @staticmethod
@@ -199,19 +203,29 @@ class VehicleTracker(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         *last, seen = self.trace.get()
-        rows = list(zip(*[iter(map(int, seen))] * 4))
-        here = self._segment(*last[1:4])
-        self.seen = {tuple(s): t for *s, t in rows if _ms(t + self.rules.vehicle_ttl) >= now or tuple(s) == here}
-        if len(self.seen) < len(rows):
+        self.seen = {tuple(s): t for *s, t in zip(*[iter(map(int, seen))] * 4)}
+        known = len(self.seen)
+        self._forget(self._segment(*last[1:4]), now)
+        if len(self.seen) < known:
+            self.runs = self._known_runs()
             self._keep(last)
-        waiting = [t for segment, t in self.seen.items() if segment != here]
-        if waiting:
-            self._wake(min(waiting), now)
+        self._wake(last, now)
         return iter(())
 
-    def _wake(self, t: int, watermark: int) -> None:
-        """Look again once reports of second t are older than the TTL."""
-        self.handle.registerTimer(max(_ms(t + self.rules.vehicle_ttl), watermark) + 1)
+    def _forget(self, here, now: int) -> None:
+        """Drop segments, but the one where the vehicle is, that are older than the TTL."""
+        ttl = self.rules.vehicle_ttl
+        if ttl is not None:
+            self.seen = {s: t for s, t in self.seen.items() if _ms(t + ttl) + self.pace_ms >= now or s == here}
+
+    def _wake(self, last, now: int) -> None:
+        """Look again once reports of the oldest other segment are older than the TTL."""
+        if self.rules.vehicle_ttl is None:
+            return
+        here = self._segment(*last[1:4])
+        waiting = [t for segment, t in self.seen.items() if segment != here]
+        if waiting:
+            self.handle.registerTimer(max(_ms(min(waiting) + self.rules.vehicle_ttl) + self.pace_ms, now) + 1)
 
     def close(self) -> None:
         pass

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,19 +32,6 @@ def _one_per_second(reports) -> F.Column:
         r, lambda x, i: (i == 0) | (r[F.greatest(i - 1, F.lit(0))].t != x.t)))[0]
 
 
-def _starts(same, gap: int | None = None) -> F.Column:
-    """Places in `reports` at which one of the columns changes, or a silence is longer than `gap`."""
-    def differs(i):
-        now, before = F.get("reports", i), F.get("reports", i - 1)
-        tests = [now[c] != before[c] for c in same]
-        if gap is not None:
-            tests.append(now["t"] - before["t"] > gap)
-        return (i == 0) | reduce(F.Column.__or__, tests)
-
-    places = F.filter(F.sequence(F.lit(0), F.size("reports") - 1), differs)
-    return F.when(F.size("reports") > 0, places).otherwise(F.array().cast("array<int>"))
-
-
 def _packed(numbers) -> F.Column:
     """An array of whole numbers as one text: an array reaches Python element by element, a text whole."""
     return F.array_join(numbers.cast("array<string>"), ",", "")
@@ -55,56 +42,9 @@ def _kept(columns: list[str]) -> F.Column:
     return _packed(F.array(*[F.col(c).cast("long") for c in columns])).alias("packed")
 
 
-def _long(value) -> F.Column:
-    """As a long; -1 for null."""
-    return F.coalesce(value.cast("long"), F.lit(-1).cast("long"))
-
-
-def _stretches(starts: str, fields) -> F.Column:
-    """For each stretch that begins at `starts` an array of what `fields` makes of its number, first
-    place and the place behind it."""
-    def stretch(first, k):
-        stop = F.coalesce(F.get(starts, k + 1), F.size("reports"))
-        return F.array(*map(_long, fields(k, first, stop)))
-
-    return F.transform(starts, stretch)
-
-
-def _window_summary(complete: DataFrame, rules: SegmentRules, keys: list[str]) -> DataFrame:
-    """One row for the reports of a vehicle in a window: its visits of segments and its runs.
-
-    A visit has its first report and its last second. Of the runs of reports from one place only those
-    stay that can matter: the window's first and last, which may go on in other windows, and stops;
-    and of the reports those that can be the one that completes a stop. All are flat, packed arrays in the
-    order of the tracker's VISIT, RUN and MARK, as Python reads these fastest.
-    """
-    need = rules.stop_reports
-
-    def of(report, names):
-        return [report[c] for c in names]
-
-    def visit(k, first, stop):
-        return [*of(F.get("reports", first), PR.REPORT), F.get("reports", stop - 1)["t"]]
-
-    def run(k, first, stop):
-        after = F.get("reports", stop)
-        mark = F.when(stop - first >= need, F.get("reports", first + need - 1))
-        return [k, stop - first, F.get("reports", stop - 1)["t"], after["t"], after["wall_ms"],
-                *of(F.get("reports", first), PR.PLACE), *of(mark, PR.MARK)]
-
-    last, mark = PR.RUN.index("t_next"), PR.RUN.index("mark_t")
-    gap = rules.vehicle_ttl if rules.entry_mode == "first" else None
-    heads = F.transform(F.slice("reports", 1, max(need - 1, 1)), lambda r: F.array(*map(_long, of(r, PR.MARK))))
-    return (
-        complete
-        .withColumn("visit_starts", _starts(rules.segment_cols, gap))
-        .withColumn("run_starts", _starts([*rules.segment_cols, "pos"]))
-        .select(
-            *keys, "t", _packed(F.flatten(_stretches("visit_starts", visit))).alias("visits"),
-            _packed(F.flatten(F.filter(_stretches("run_starts", run),
-                                       lambda r: (r[0] == 0) | (r[last] < 0) | (r[mark] >= 0)))).alias("runs"),
-            _packed(F.flatten(heads)).alias("heads"))
-    )
+def _line(columns: list[str]) -> F.Column:
+    """The columns, all whole numbers, as one line of text; -1 for null."""
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in columns])
 
 
 def vehicle_events(
@@ -115,38 +55,24 @@ def vehicle_events(
 
     The watermarked aggregation holds a vehicle's reports back, `pace` of time in one list, until
     none can be missing; so the tracker sees later batches for later times only, and keeps no
-    reports itself. Lists are summed up where they are built: the tracker gets a row per vehicle and
-    window, not one per report. With each closed window of the whole feed goes a row of no vehicle,
-    which tells the later stages how far events are complete, whether or not any vehicle stops.
-
-    Where leaving the segment does not end a stop, stops are followed per vehicle and segment, beside
-    the entries.
+    reports itself. A report is one line of text from where it is read: an aggregation carries such a list
+    faster than one of records, and the tracker gets a text per vehicle and window, not a row per report. With
+    each closed window of the whole feed goes a row of no vehicle, which tells the later stages how far events
+    are complete, whether or not any vehicle stops.
     """
-    if rules.stop_scope == "segment":
-        whole = replace(rules, stop_scope="vehicle")
-        alone = replace(whole, entry_mode="crossing", vehicle_ttl=None)
-        entries = _tracked(reports, whole, delay, pace).filter(F.col("kind").isin(PR.ENTRY, PR.HEARTBEAT))
-        stops = _tracked(reports, alone, delay, pace, rules.segment_cols)
-        return entries.unionByName(stops.filter(F.col("kind").isin(PR.STOP, PR.MOVE)))
-    return _tracked(reports, rules, delay, pace)
-
-
-def _tracked(reports: DataFrame, rules: SegmentRules, delay: str, pace: str, within: list[str] = ()) -> DataFrame:
-    """Events of each vehicle, or of what it does within each of the columns `within`."""
-    keys = ["vid", *within]
-    report = F.struct("t", "speed", "xway", "lane", "dir", "seg", "pos", "wall_ms")
     nobody = F.col("who") == NOBODY
-    complete = (
+    windows = (
         in_event_time(positions(reports), delay)
         .withColumnRenamed("simulated_time", "t")
+        .select("vid", "ts", _line(PR.REPORT).alias("report"))
         .withColumn("who", F.explode(F.array_distinct(F.array("vid", F.lit(NOBODY)))))
-        .groupBy(F.window("ts", pace).alias("w"), "who", *within)
-        .agg(F.collect_list(F.when(~nobody, report)).alias("reports"))
-        .select(F.col("who").alias("vid"), *within, (_second("w.end") - 1).alias("t"),
-                _one_per_second(F.col("reports")).alias("reports"))
+        .groupBy(F.window("ts", pace).alias("w"), "who")
+        .agg(F.collect_list(F.when(~nobody, F.col("report"))).alias("reports"))
+        .select(F.col("who").alias("vid"), (_second("w.end") - 1).alias("t"),
+                F.array_join("reports", "\n").alias("reports"))
     )
-    return _window_summary(complete, rules, keys).groupBy(*keys).transformWithState(
-        PR.VehicleTracker(rules), PR.EVENTS, "append",
+    return windows.groupBy("vid").transformWithState(
+        PR.VehicleTracker(rules, pd.Timedelta(pace).total_seconds()), PR.EVENTS, "append",
         "none" if rules.vehicle_ttl is None else "eventTime",
     )
 

@@ -185,8 +185,10 @@ def _minute_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = replay(spark, sf_dir)
-    return SG.serving_stats(r.minutes, r.history).withColumn("lav", F.round("lav", 6))
+    """Statistics as minutes with reports are served; which these are, the history tells, so the reports of
+    a vehicle and minute are gathered once."""
+    history = replay(spark, sf_dir).history
+    return SG.serving_stats(SG.reported_minutes(history), history).withColumn("lav", F.round("lav", 6))
 
 
 def _new_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +293,8 @@ def _stale_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = SegmentRules(lav_keep_stale=True)
     history = SG.segment_history(r.report_stream(), rules)
     SK.finish(SK.to_files(history, f"{root}/history", f"{root}/checkpoint"))
-    told = spark.read.schema(history.schema).parquet(f"{root}/history")
-    return SG.serving_stats(r.minutes, told, rules).select("xway", "seg", "minute", F.round("lav", 6).alias("lav"))
+    told = spark.read.schema(history.schema).parquet(f"{root}/history").filter("xway >= 0")
+    return SG.serving_stats(SG.reported_minutes(told, rules), told, rules).select("xway", "seg", "minute", F.round("lav", 6).alias("lav"))
 
 
 def _accidents_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,8 +281,14 @@ def notices(
     )
 
 
+def reported_minutes(history: DataFrame, rules: SegmentRules = DEFAULT_RULES) -> DataFrame:
+    """The minutes with reports, from the history alone: those before the rows that count vehicles."""
+    return history.filter(F.col("nov") > 0).select(*rules.segment_cols, (F.col("minute") - 1).alias("minute"))
+
+
 def serving_stats(minutes: DataFrame, history: DataFrame, rules: SegmentRules = DEFAULT_RULES):
-    """Statistics of the minutes with reports, from the tables the two statistics queries write."""
+    """Statistics of the minutes with reports, from the tables the two statistics queries write; the minutes
+    may be those of `reported_minutes`."""
     seg = rules.segment_cols
     served = F.col("minute")
     if rules.lav_keep_stale:

@@ -63,9 +63,9 @@ class Replay:
     def report_stream(self, path: str | None = None) -> DataFrame:
         return SO.report_stream(SO.line_stream(self.spark, path or self.feed, self.files))
 
-    def run(self, df: DataFrame, name: str, fmt: str = "parquet"):
+    def run(self, df: DataFrame, name: str, fmt: str = "parquet", groups: tuple[str, str] = SK.MANY_GROUPS):
         return SK.finish(SK.to_files(
-            df, f"{self.root}/{name}", f"{self.root}/checkpoints/{name}", fmt
+            df, f"{self.root}/{name}", f"{self.root}/checkpoints/{name}", fmt, groups=groups
         ))
 
     def table(self, name: str, columns: str, fmt: str = "parquet") -> DataFrame:
@@ -98,7 +98,7 @@ class Replay:
 
     @cached_property
     def history(self) -> DataFrame:
-        self.run(SG.segment_history(self.report_stream()), "history")
+        self.run(SG.segment_history(self.report_stream()), "history", groups=SK.LONG_LISTS)
         return self.table("history", HISTORY_COLS).filter("xway >= 0")
 
     @cached_property

@@ -47,10 +47,12 @@ class Job:
         elif known.value != now:
             raise ValueError(f"{self.out} was started with {known.value}")
 
-    def _start(self, df: DataFrame, name: str) -> tuple[StreamingQuery, DataFrame]:
+    def _start(
+        self, df: DataFrame, name: str, groups: tuple[str, str] = SK.MANY_GROUPS
+    ) -> tuple[StreamingQuery, DataFrame]:
         """The query that writes a stage's table, and the stream of what it writes."""
         path = f"{self.out}/{name}"
-        query = SK.to_files(df, path, f"{self.out}/checkpoints/{name}", trigger=self.trigger)
+        query = SK.to_files(df, path, f"{self.out}/checkpoints/{name}", trigger=self.trigger, groups=groups)
         if self.trigger is None:
             SK.finish(query)
         return query, SO.table_stream(self.spark, path, df.schema)
@@ -67,7 +69,7 @@ class Job:
             SG.vehicle_events(self._reports(), self.rules, self.delay), "events"
         )
         history_query, history = self._start(
-            SG.segment_history(self._reports(), self.rules, self.delay), "history"
+            SG.segment_history(self._reports(), self.rules, self.delay), "history", SK.LONG_LISTS
         )
         changes = SG.accident_changes(events, self.rules)
         signals_query, signals = self._start(SG.scope_signals(changes, self.rules), "signals")
